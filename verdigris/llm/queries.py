@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontaminate, licenses, mixing
 
-QUERIES = {"op1_source_mix": mixing.op1_source_mix}
-SQL = {"op1_source_mix": mixing.OP1_SQL}
+QUERIES = {
+    "op1_source_mix": mixing.op1_source_mix,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op10_license_scan": licenses.op10_license_scan,
+}
+SQL = {
+    "op1_source_mix": mixing.OP1_SQL,
+    "op2_decontaminate": decontaminate.OP2_SQL,
+    "op10_license_scan": licenses.OP10_SQL,
+}
