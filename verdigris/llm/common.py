@@ -74,3 +74,8 @@ def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for a null or wordless text."""
     t = F.lower(F.coalesce(text, F.lit("")))
     return F.filter(F.split(t, NOT_WORD), lambda w: w != "")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts stay small: at most ``rows`` rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

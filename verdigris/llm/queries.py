@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing
+from . import decontaminate, licenses, mixing, token_counts
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op10_license_scan": licenses.op10_license_scan,
 }
 SQL = {
