@@ -10,9 +10,7 @@ such that any SPAN tokens with SPAN - NEED substitutions hold a hit.
 
 from __future__ import annotations
 
-from functools import reduce
 from math import ceil
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +30,7 @@ BROADCAST_SEEDS = 1_000_000
 def _seeds(rows: DataFrame, tokens: str, pos: str) -> DataFrame:
     """A row for each mask at each position: adds ``_pos``, ``_m`` and ``_seed``."""
     n = F.size(tokens)
-    out = rows.withColumn(pos, F.explode(F.sequence(F.lit(0), n - LEAST)))
+    out = rows.withColumn(pos, F.explode(F.when(n >= LEAST, F.sequence(F.lit(0), n - LEAST))))
     at = lambda i: F.get(F.col(tokens), F.col(pos) + i)
     hashes = [F.xxhash64(F.lit(k), *[at(i) for i in mask]) for k, mask in enumerate(MASKS)]
     fits = [F.when(F.col(pos) + mask[-1] < n, h) for mask, h in zip(MASKS, hashes)]
@@ -50,11 +48,11 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 def _best_overlap() -> Column:
     """Most agreeing tokens in any SPAN positions around the hit, on its diagonal."""
-    # the hit: the seed's first token is at document position _p and item position _q
+    # the hit: the seed's first token is at document position _p and item position _q.
+    # Higher-order functions keep this rare, long expression out of the loop over positions.
     reach = SPAN - LEAST
-    same = [F.get("_doc", F.col("_p") + j) == F.get("_item", F.col("_q") + j) for j in range(-reach, SPAN)]
-    bits = [F.when(s, 1).otherwise(0) for s in same]
-    return F.greatest(*[reduce(add, bits[i : i + SPAN]) for i in range(reach + 1)])
+    same = F.transform(F.sequence(F.lit(-reach), F.lit(SPAN - 1)), lambda j: F.coalesce((F.get("_doc", F.col("_p") + j) == F.get("_item", F.col("_q") + j)).cast("int"), F.lit(0)))
+    return F.array_max(F.transform(F.sequence(F.lit(1), F.lit(reach + 1)), lambda i: F.aggregate(F.slice(same, i, SPAN), F.lit(0), lambda a, x: a + x)))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: list[str]) -> DataFrame:
@@ -67,7 +65,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: list[str]) -> DataFrame
     items = items_of(benchmark)
     seeds = _seeds(items, "_item", "_q").select("_seed", "_ik", "_q")
     n = seeds.count()
-    have = _seeds(docs.select(*key, token_hashes(F.col("text")).alias("_doc")).where(F.size("_doc") >= LEAST), "_doc", "_p")
+    have = _seeds(docs.select(*key, token_hashes(F.col("text")).alias("_doc")), "_doc", "_p")
     if n <= BROADCAST_SEEDS:
         hits = have.join(F.broadcast(seeds), "_seed").join(F.broadcast(items), "_ik")
     else:  # documents' tokens are not shuffled by seed: hits first, then tokens by key
