@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, token_counts, token_files
+from . import decontaminate, licenses, mixing, quality, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_token_files": token_files.op3_token_files,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op7_quality": quality.op7_quality,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_license_scan": licenses.op10_license_scan,
 }
