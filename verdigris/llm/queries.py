@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, quality, token_counts, token_files, toxicity
+from . import decontaminate, licenses, mixing, quality, token_counts, token_files, topk, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_token_files": token_files.op3_token_files,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_topk_search": topk.op5_topk_search,
     "op7_quality": quality.op7_quality,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_license_scan": licenses.op10_license_scan,
@@ -16,5 +17,6 @@ QUERIES = {
 SQL = {
     "op1_source_mix": mixing.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op5_topk_search": topk.OP5_SQL,
     "op10_license_scan": licenses.OP10_SQL,
 }
