@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, quality, token_counts, token_files, topk, toxicity
+from . import decontaminate, licenses, mixing, neardup, quality, token_counts, token_files, topk, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_topk_search": topk.op5_topk_search,
     "op7_quality": quality.op7_quality,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_license_scan": licenses.op10_license_scan,
 }
 SQL = {
