@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,17 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 _folders: dict[str, str] = {}
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the
+    driver has it; on a cluster it is installed or sent with addPyFile."""
+    paths = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in paths.get("PYTHONPATH", "").split(os.pathsep):
+        paths["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths.get("PYTHONPATH")) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -78,4 +90,5 @@ def words_of(text: Column) -> Column:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole texts stay small: at most ``rows`` rows."""
+    on_workers(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, neardup, quality, token_counts, token_files, topk, toxicity
+from . import decontaminate, exact_repeats, licenses, mixing, neardup, quality, token_counts, token_files, topk, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_files": token_files.op3_token_files,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_topk_search": topk.op5_topk_search,
+    "op6_exact_repeats": exact_repeats.op6_exact_repeats,
     "op7_quality": quality.op7_quality,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_near_duplicates": neardup.op9_near_duplicates,

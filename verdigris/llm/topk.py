@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_path
+from .common import cut, new_path, on_workers
 
 SCALE = 1024
 #: Queries in a block, about; rows scored at once.
@@ -126,6 +126,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     nor do null ids; shorter vectors count as filled up with zeros, empty ones
     score 0; repeated rows of one id count once; an empty table gives no rows."""
     spark = vectors.sparkSession
+    on_workers(spark)
     rows = cut(quantised(vectors), "vectors")
     chosen = rows.where(F.col("vec_id") % every == 0)
     dims, n = rows.agg(F.max(F.octet_length("q"))).first()[0], chosen.count()
