@@ -20,14 +20,11 @@ def l2sq(a: str | Column, b: str | Column, dims: int) -> Column:
     return reduce(add, parts)
 
 
-def bbox_bound(q: str, low: str, high: str, dims: int) -> Column:
-    """Least squared distance from a vector to a box."""
-    parts = []
-    for i in range(dims):
-        x = F.get(F.col(q), F.lit(i))
-        d = F.greatest(F.get(F.col(low), F.lit(i)) - x, x - F.get(F.col(high), F.lit(i)), F.lit(0)).cast("long")
-        parts.append(d * d)
-    return reduce(add, parts)
+def bbox_bound(q: str, low: str, high: str) -> Column:
+    """Least squared distance from a vector to a box. There is one a query and list, so
+    it is kept short by higher-order functions instead of unrolled."""
+    outside = F.zip_with(F.zip_with(low, q, lambda l, x: l - x), F.zip_with(q, high, lambda x, h: x - h), lambda a, b: F.greatest(a, b, F.lit(0)).cast("long"))
+    return F.aggregate(outside, F.lit(0).cast("long"), lambda t, d: t + d * d)
 
 
 def matrix_l2sq(rows: np.ndarray, others: np.ndarray) -> np.ndarray:

@@ -119,11 +119,17 @@ def ivf_repaired(index: Index, queries: DataFrame, nprobe: int = 3, repair: int
     return first.join(unsure, "query_id", "left_anti").unionByName(second)
 
 
+def bounds(rows: DataFrame, key: str) -> DataFrame:
+    """(key, low, high): least and greatest component of ``q`` in each dimension. One
+    sum for each key and dimension leaves a task, and no plan grows with the dimensions."""
+    each = rows.select(key, F.posexplode("q").alias("_i", "_x")).groupBy(key, "_i").agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    box = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_i", "lo", "hi"))).alias("_b"))
+    return box.select(key, F.col("_b.lo").alias("low"), F.col("_b.hi").alias("high"))
+
+
 def boxes(index: Index) -> DataFrame:
     """(list_id, low, high) of the lists that hold vectors."""
-    dims = index.centroids.shape[1]
-    at = lambda i: F.get("q", F.lit(i))
-    return index.vectors.groupBy("list_id").agg(F.array(*[F.min(at(i)) for i in range(dims)]).alias("low"), F.array(*[F.max(at(i)) for i in range(dims)]).alias("high"))
+    return bounds(index.vectors, "list_id")
 
 
 def exact_fallback(index: Index, queries: DataFrame, nprobe: int = 3, k: int = NEIGHBOURS, exclude_self: bool = True) -> DataFrame:
@@ -135,7 +141,7 @@ def exact_fallback(index: Index, queries: DataFrame, nprobe: int = 3, k: int = N
     worst = queries.select("query_id", "q").join(full, "query_id", "left").select("query_id", "q", F.when(F.col("n") >= k, F.col("worst")).alias("worst"))
     # there are at most MOST_LISTS boxes
     near = worst.crossJoin(F.broadcast(boxes(index)))
-    near = near.where(F.col("worst").isNull() | (bbox_bound("q", "low", "high", index.centroids.shape[1]) < F.col("worst")))
+    near = near.where(F.col("worst").isNull() | (bbox_bound("q", "low", "high") < F.col("worst")))
     rest = near.join(visits.select("query_id", "list_id"), ["query_id", "list_id"], "left_anti").withColumn("probe_rank", F.lit(MOST_PROBES))
     more = _scan(rest, index, exclude_self)
     return _top(first.withColumn("probe_rank", F.lit(0)).select("query_id", "probe_rank", "row_id", "label", "d").unionByName(more), k)

@@ -100,9 +100,8 @@ def l2sq_pairs(spark, sf_dir):
 SELECT row_id, sum(pow(greatest(lo - x, x - hi, 0), 2))::BIGINT AS bound FROM (SELECT row_id, unnest(q) AS x, generate_subscripts(q, 1) AS p FROM e WHERE label = 0) JOIN m USING (p) GROUP BY row_id""")
 def bbox_lower_bound(spark, sf_dir):
     e = corpus(spark, sf_dir)
-    at = lambda i: F.get("q", F.lit(i))
-    box = e.where("label = 1").agg(F.array(*[F.min(at(i)) for i in range(DIMS)]).alias("low"), F.array(*[F.max(at(i)) for i in range(DIMS)]).alias("high"))
-    return e.where("label = 0").crossJoin(F.broadcast(box)).select("row_id", bbox_bound("q", "low", "high", DIMS).alias("bound"))
+    box = search.bounds(e.where("label = 1"), "label").drop("label")
+    return e.where("label = 0").crossJoin(F.broadcast(box)).select("row_id", bbox_bound("q", "low", "high").alias("bound"))
 
 
 @query(f"WITH {EXACT} SELECT query_id, rank, row_id, label::BIGINT AS label, d FROM x")
