@@ -6,9 +6,10 @@ equal places, so strings that repeat share an anchor value; values that occur
 once are dropped by a count. A run of strings with one anchor is a context. Of
 equal contexts one stands for all; different contexts of one anchor value meet in
 one piece of text, whose suffix array and adjacent common prefixes tell which of
-their strings repeat. Values with more than MOST contexts are not gathered: each
-of their strings is counted by a 128-bit hash instead, which is as exact and
-needs no group in one task.
+their strings repeat. Values with more than MOST contexts are not gathered: their
+strings are counted by 128-bit hashes, in pieces of GRIDS neighbouring starts. A
+piece repeats as a whole if the stretch it spans does, and not at all if what its
+strings have in common does not; other pieces are divided.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .suffix import Hashes, common_prefixes, suffix_array
 LENGTH, ANCHOR = 400, 64
 #: Most contexts of one anchor value in a suffix array; bytes of contexts sorted at once, about.
 MOST, PIECE = 1000, 1 << 20
+#: Starts in a piece, level by level.
+GRIDS = (64, 16, 4, 1)
 #: Bytes in which anchors are searched at once; positions take 20 bits beside the hash.
 STRETCH = 1 << 20
 
@@ -48,7 +51,7 @@ def _least_in_windows(x: np.ndarray, width: int) -> np.ndarray:
 def contexts(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """For some documents, of which document i ends at ends[i] in ``text``, all
     shorter together than STRETCH: (document, first start, last start, anchor value,
-    context value) of each context; starts are counted from the document's own."""
+    context value, anchor's place after the first start) of each context; starts are counted from the document's own."""
     begins = np.concatenate([[0], ends[:-1]])
     hashes = Hashes(text, 256)
     h = hashes.window(ANCHOR)
@@ -61,14 +64,14 @@ def contexts(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     inside = np.arange(len(anchor)) + LENGTH <= ends[doc]
     start = np.flatnonzero(inside)
     if not len(start):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     a, d = anchor[start], doc[start]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])])
     first = start[new]
     last = start[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(start) - 1]])]
     own = hashes.window(LENGTH)
     c = (own[first] * _U(3) ^ (own[last] >> _U(7))) * _U(0xC2B2AE3D27D4EB4F) + own[last] + (last - first).astype(np.uint64)
-    return doc[first], first - begins[doc[first]], last - begins[doc[first]], h[a[new]].view(np.int64), c.view(np.int64)
+    return doc[first], first - begins[doc[first]], last - begins[doc[first]], h[a[new]].view(np.int64), c.view(np.int64), a[new] - first
 
 
 def _stretches(raws: list[bytes]):
@@ -132,24 +135,71 @@ def _marks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "did long, k1 long, k2 long, s long, e long")
 
 
-def _hashed_strings(rows: DataFrame) -> DataFrame:
-    """(h1, h2, did, k1, k2, p): every string of contexts (did, k1, k2, lo, body)."""
+#: A context by its place.
+PLACE = ["did", "k1", "k2", "lo"]
+
+
+def _pieces(rows: DataFrame, size: int) -> DataFrame:
+    """Pieces of ``size`` starts of contexts (a, PLACE, off, body, wanted): s and e,
+    the starts that the context has of it, its hashes c1, c2 of what its strings
+    have in common and u1, u2 of the stretch that they span. ``wanted`` holds ranges
+    of starts, counted from the context's first. Pieces are counted from the anchor,
+    so that equal strings of two contexts lie in the same piece."""
 
     def run(batches):
+        names = ["a", *PLACE, "off", "body", "wanted"]
         for b in batches:
-            cols = [b.column(n).to_pylist() for n in ("did", "k1", "k2", "lo", "body")]
-            for i in range(0, b.num_rows, 500):
-                did, k1, k2, lo, body = [c[i : i + 500] for c in cols]
-                text = np.frombuffer(b"".join(body), np.uint8)
-                n = np.array([len(x) for x in body])
-                count, begin = n - LENGTH + 1, np.cumsum(n) - n
-                which = np.repeat(np.arange(len(body)), count)
-                p = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-                h1, h2 = (Hashes(text, 256, seed).window(LENGTH)[begin[which] + p].view(np.int64) for seed in (0, 1))
-                own = [pa.array(np.array(x, np.int64)[which]) for x in (did, k1, k2)]
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), *own, pa.array(np.array(lo)[which] + p)], names=["h1", "h2", "did", "k1", "k2", "p"])
-
-    return rows.mapInArrow(run, "h1 long, h2 long, did long, k1 long, k2 long, p long")
+            out = []
+            for a, did, k1, k2, lo, off, body, wanted in zip(*[b.column(n).to_pylist() for n in names]):
+                text = np.frombuffer(body, np.uint8)
+                shift = LENGTH - ANCHOR - off  # of a start, to its place on the anchor's grid
+                strings, common = [], []
+                for seed in (0, 1):
+                    h = Hashes(text, 256, seed)
+                    strings.append(h.window(LENGTH).astype(np.uint64))
+                    common.append(h.window(LENGTH - size + 1))
+                last = len(strings[0]) - 1
+                for first, end in [(0, last)] if wanted is None else [(w["s"], w["e"]) for w in wanted]:
+                    for piece in range((first + shift) // size, (end + shift) // size + 1):
+                        begin = piece * size - shift
+                        s, e = max(begin, first), min(begin + size - 1, end)
+                        # the strings of the whole piece share the bytes from its last start on
+                        c = [int(x[begin + size - 1]) for x in common] if begin + size - 1 < len(common[0]) else [0, 0]
+                        u = [(int(x[s]) * 3 + (int(x[e]) >> 7) + (e - s)) & (1 << 64) - 1 for x in strings]
+                        out.append((did, k1, k2, lo, s, e, *[_signed(x ^ _grid(a, piece)) for x in c], *[_signed(x ^ _grid(a, piece * 1000 + s - begin)) for x in u]))
+            cols = list(zip(*out)) or [[]] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=[*PLACE, "s", "e", "c1", "c2", "u1", "u2"])
+
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in [*PLACE, "s", "e", "c1", "c2", "u1", "u2"]))
+
+
+def _grid(a: int, piece: int) -> int:
+    return ((a & (1 << 64) - 1) ^ (piece + 1) * 0x9E3779B97F4A7C15) & (1 << 64) - 1
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _marks_of_hot(rows: DataFrame) -> DataFrame:
+    """Runs of repeated starts of contexts whose anchor value has many others."""
+    rows = rows.select("a", *PLACE, "off", "body")
+    todo, found = rows.withColumn("wanted", F.lit(None).cast("array<struct<s:long,e:long>>")), None
+    for size in GRIDS:
+        pieces = cut(_pieces(todo, size), "pieces")
+        twice = lambda *h: cut(pieces.groupBy(*h).agg(F.count("*").alias("n")).where("n > 1").select(*h), "twice")  # noqa: B023, E731
+        judged = pieces.join(twice("u1", "u2").withColumn("all", F.lit(True)), ["u1", "u2"], "left")
+        if size > 1:
+            judged = judged.join(twice("c1", "c2").withColumn("some", F.lit(True)), ["c1", "c2"], "left")
+        judged = cut(judged, "judged")
+        new = judged.where("all").select("did", "k1", "k2", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e")).alias("e"))
+        found = new if found is None else found.unionByName(new)
+        if size > 1:
+            # of pieces that repeat as a whole one stays, for those that share only a part with it
+            one = judged.where("all").groupBy("u1", "u2").agg(F.min(F.struct(*PLACE, "s", "e")).alias("p")).select("p.*")
+            rest = judged.where("all is null and some").select(*PLACE, "s", "e").unionByName(one).groupBy(*PLACE).agg(F.collect_list(F.struct("s", "e")).alias("wanted"))
+            todo = cut(rows.join(rest, PLACE), "divided")
+    return found
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
@@ -164,15 +214,15 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
             for held in _stretches(raws):
                 which = np.array([i for i, _, _ in held])
                 offset = np.array([at for _, at, _ in held])
-                d, lo, hi, a, c = contexts(np.frombuffer(b"".join(p for _, _, p in held), np.uint8), np.cumsum([len(p) for _, _, p in held]))
+                d, lo, hi, a, c, off = contexts(np.frombuffer(b"".join(p for _, _, p in held), np.uint8), np.cumsum([len(p) for _, _, p in held]))
                 i = which[d]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), *[pa.array(k[i]) for k in keys], pa.array(lo + offset[d]), pa.array(hi + offset[d])], names=["a", "c", "did", "k1", "k2", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), *[pa.array(k[i]) for k in keys], pa.array(lo + offset[d]), pa.array(hi + offset[d]), pa.array(off)], names=["a", "c", "did", "k1", "k2", "lo", "hi", "off"])
 
     long = docs.where(F.octet_length("raw") >= LENGTH)
-    found = cut(long.mapInArrow(find, "a long, c long, did long, k1 long, k2 long, lo long, hi long"), "anchors")
+    found = cut(long.mapInArrow(find, "a long, c long, did long, k1 long, k2 long, lo long, hi long, off long"), "anchors")
     # places: of whole copies of a text only the row of the least id counts
-    place = F.struct("did", "k1", "k2", "lo", "hi")
-    same = found.groupBy("a", "c", "k1", "k2", "lo").agg(F.min("did").alias("did"), F.first("hi").alias("hi"))
+    place = F.struct("did", "k1", "k2", "lo", "hi", "off")
+    same = found.groupBy("a", "c", "k1", "k2", "lo").agg(F.min("did").alias("did"), F.first("hi").alias("hi"), F.first("off").alias("off"))
     kinds = same.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(place).alias("at"))
     kinds = cut(kinds, "contexts")
     values = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("n > 1")
@@ -182,24 +232,22 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     whole = found.join(twice, ["a", "c"]).select("did", "k1", "k2", F.col("lo").alias("s"), F.col("hi").alias("e"))
     # one place of each context whose anchor value has others, with its bytes
     wanted = kinds.join(values.where("kinds > 1").select("a", "kinds"), "a").select("a", "kinds", "at.*")
-    per_text = wanted.groupBy("did", "k1", "k2").agg(F.collect_list(F.struct("a", "kinds", "lo", "hi")).alias("w"))
+    per_text = wanted.groupBy("did", "k1", "k2").agg(F.collect_list(F.struct("a", "kinds", "lo", "hi", "off")).alias("w"))
 
     def bodies(batches):
         for b in batches:
             out = []
             for did, k1, k2, raw, w in zip(*[b.column(n).to_pylist() for n in ("did", "k1", "k2", "raw", "w")]):
-                out += [(x["a"], x["kinds"], did, k1, k2, x["lo"], raw[x["lo"] : x["hi"] + LENGTH]) for x in w]
-            cols = list(zip(*out)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64()] * 6 + [pa.binary()])], names=["a", "kinds", "did", "k1", "k2", "lo", "body"])
+                out += [(x["a"], x["kinds"], did, k1, k2, x["lo"], x["off"], raw[x["lo"] : x["hi"] + LENGTH]) for x in w]
+            cols = list(zip(*out)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64()] * 7 + [pa.binary()])], names=["a", "kinds", "did", "k1", "k2", "lo", "off", "body"])
 
     texts = long.select("did", "k1", "k2", "raw").join(cut(per_text, "wanted"), ["did", "k1", "k2"])
-    taken = cut(texts.mapInArrow(bodies, "a long, kinds long, did long, k1 long, k2 long, lo long, body binary"), "bodies")
-    few = taken.where(F.col("kinds") <= MOST).drop("kinds")
-    marks = _marks(few.repartition("a").sortWithinPartitions("a"))
-    hashed = cut(_hashed_strings(taken.where(F.col("kinds") > MOST)), "strings")
-    often = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    dense = hashed.join(often, ["h1", "h2"]).select("did", "k1", "k2", F.col("p").alias("s"), F.col("p").alias("e"))
-    return whole.unionByName(marks).unionByName(dense)
+    taken = cut(texts.mapInArrow(bodies, "a long, kinds long, did long, k1 long, k2 long, lo long, off long, body binary"), "bodies")
+    few = taken.where(F.col("kinds") <= MOST).drop("kinds", "off")
+    marks = whole.unionByName(_marks(few.repartition("a").sortWithinPartitions("a")))
+    many = taken.where(F.col("kinds") > MOST)
+    return marks if many.isEmpty() else marks.unionByName(_marks_of_hot(many))
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
