@@ -19,7 +19,7 @@ from .toxicity import score, train
 from .training import labelled_sample, sigmoid
 
 #: Rows the classifier is fitted on, about.
-ROWS = 8_000
+ROWS = 5_000
 LEAST_TEXTS, LEAST_Z = 5, 2.0
 STEPS, RATE, PENALTY = 100, 0.05, 1e-4
 

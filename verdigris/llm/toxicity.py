@@ -90,15 +90,17 @@ def score(docs: DataFrame, model: bytes, threshold: float, keep: list[str], kind
     """The columns ``keep`` of ``docs``, then _score and _predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    own = "text" in keep
+    names = [*keep, "_score", "_predicted"]
+
     def run(batches):
         loaded = kind.unpack(shared.value)
         for b in batches:
-            s = loaded.scores(text_list(b.column("_text")))
-            out = [*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))]
+            s = loaded.scores(text_list(b.column("text" if own else "_text")))
+            out = [*b.columns[: len(keep)], pa.array(s), pa.array((s >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    names = [*keep, "_score", "_predicted"]
+    rows = docs.select(*keep) if own else docs.select(*keep, F.col("text").alias("_text"))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())])
     return rows.mapInArrow(run, schema)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Most rows a classifier is fitted on, about; and most characters of such a row.
-TRAIN_ROWS, TRAIN_CHARS = 16_000, 200_000
+TRAIN_ROWS, TRAIN_CHARS = 8_000, 200_000
 _STEPS = 1 << 20
 
 
