@@ -6,10 +6,16 @@ labelled shingles, in text order, make one key, so that texts with the same
 shingles in another order get other keys. Texts that share a key are
 candidates. Those with equal words are one text from the start.
 
-In a bucket of candidates every text is compared with one leader, the text whose
-keys are the most frequent, then those not linked with another leader, and so on
-until no text is left: links grow with the bucket, not with its square. After
-ROUNDS rounds the buckets that still hold texts are divided by their next key.
+In a bucket of at most SMALL candidates (SMALL_AFTER below) all pairs are compared. In a larger one
+every text is compared with one leader, the text whose keys are the most frequent,
+then those not linked with another leader, and so on until no text is left: pairs
+grow with the bucket, not with its square. After ROUNDS rounds the texts that are
+left, which share common passages as a rule, get new buckets by prefix filtering:
+in any one order of all shingles, two texts that are LIKE or more alike share one
+that is in the first fifth of the larger set and in the first ninth of the smaller
+(bounds for 0.8), so a bucket without a text of the second kind holds no pair. The
+order puts shingles last that are frequent in a bounded sample of these texts, so
+such buckets are small, and lose no pair.
 
 A candidate pair is linked if the Jaccard similarity of its shingles is LIKE
 or more and an alignment within a band finds an edit similarity of LIKE or more.
@@ -18,6 +24,8 @@ Classes are the connected components of the links.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,10 +34,13 @@ from pyspark.sql import functions as F
 from .common import cut, small_batches, table, words_of
 from .components import components
 
-SHINGLE, SKETCHES, DRAWN = 5, 16, 2
+#: Texts that are just LIKE share a key with probability 0.8 ** DRAWN or so: all SKETCHES miss 3 of 100,000 such pairs.
+SHINGLE, SKETCHES, DRAWN = 5, 20, 4
 #: Similarity, as a fraction.
 LIKE = (4, 5)
-ROUNDS = 4
+ROUNDS, SMALL, SMALL_AFTER = 2, 6, 32
+#: Texts whose shingles are counted for the order of prefix filtering.
+ORDER_TEXTS = 1000
 #: Words sketched at once; a longer text is sketched alone.
 CHUNK = 1 << 19
 
@@ -87,9 +98,11 @@ def sketches(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
             v[p] = top
             least.append(m)
             place.append(p)
-        swap = place[0] > place[1]
-        a, b = np.where(swap, least[1], least[0]), np.where(swap, least[0], least[1])
-        out[:, j] = _mix(a * _MULT[1] + _mix(b * _MULT[2]) + _U(j))
+        least, order = np.stack(least), np.argsort(np.stack(place), axis=0, kind="stable")
+        key = np.full(len(ends), _U(j))
+        for m in np.take_along_axis(least, order, 0):
+            key = _mix(key * _MULT[1] + m)
+        out[:, j] = key
     return out
 
 
@@ -182,50 +195,92 @@ def alike(a: bytes, b: bytes) -> bool:
 
 
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Of pairs (u, v), those that are alike."""
+    """Of pairs (u, v, lu, lv), those that are alike."""
     full = pairs.join(words.select(F.col("row").alias("u"), F.col("words").alias("a")), "u").join(words.select(F.col("row").alias("v"), F.col("words").alias("b")), "v")
 
     def run(batches):
         for b in batches:
             keep = [alike(x, y) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield b.select(["u", "v", "lu", "lv"]).filter(pa.array(keep, pa.bool_()))
+
+    return full.select("u", "v", "lu", "lv", "a", "b").mapInArrow(run, "u long, v long, lu long, lv long")
+
 
-    return full.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+def _relabelled(df: DataFrame, changes: DataFrame, *names: str) -> DataFrame:
+    for name in names:
+        new = changes.select(F.col("node").alias(name), F.col("label").alias("_new"))
+        df = df.join(new, name, "left").withColumn(name, F.coalesce("_new", name)).drop("_new")
+    return df
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """Links (u, v) between distinct texts of a written table (row, n, keys, words)."""
+def _prefix_buckets(left: DataFrame, words: DataFrame) -> DataFrame:
+    """The texts of ``left`` with their prefix shingles as keys."""
+    texts = left.groupBy("row").agg(F.first("n").alias("n"), F.first("weight").alias("weight"), F.first("label").alias("label"))
+    texts = cut(texts.join(words, "row"), "unresolved")
+    sample = texts.orderBy(F.xxhash64("row"), "row").limit(ORDER_TEXTS).select("words").collect()
+    seen = [np.unique(shingles(np.frombuffer(r.words, "<u2"))) for r in sample]
+    value, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *seen]), return_counts=True)
+    shared = left.sparkSession.sparkContext.broadcast((value[count > 1], count[count > 1]))
+
+    def run(batches):
+        value, count = shared.value
+        for b in batches:
+            out, of, index = [], [], []
+            for i, w in enumerate(b.column("words").to_pylist()):
+                s = np.unique(shingles(np.frombuffer(w, "<u2")))
+                frequent = np.zeros(len(s), np.int64)
+                if len(value):
+                    at = np.minimum(np.searchsorted(value, s), len(value) - 1)
+                    frequent = np.where(value[at] == s, count[at], 0)
+                first = len(s) - -(-len(s) * LIKE[0] // LIKE[1]) + 1
+                out.append(s[np.lexsort((s, frequent))[:first]].view(np.int64))
+                of += [i] * len(out[-1])
+                small = len(s) - -(-len(s) * 2 * LIKE[0] // sum(LIKE)) + 1
+                index += [j < small for j in range(len(out[-1]))]
+            rows = b.drop_columns(["words"]).take(pa.array(of, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *out])), pa.array(index, pa.bool_())], names=["row", "n", "weight", "label", "key", "index"])
+
+    found = texts.select("row", "n", "weight", "label", "words").mapInArrow(run, "row long, n long, weight long, label long, key long, index boolean")
+    return cut(found, "prefixes")
+
+
+def links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between distinct texts (row, n, keys) of a sketched table."""
     spark = texts.sparkSession
-    bands = texts.where("keys is not null").select("row", "n", F.posexplode("keys").alias("band", "key"))
-    bands = cut(bands, "bands")
+    bands = cut(texts.where("keys is not null").select("row", "n", F.explode("keys").alias("key")), "bands")
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(bands.join(shared, "key"), "members")
-    weight = members.groupBy("row").agg(F.sum("size").alias("weight"))
-    left = cut(members.drop("size").join(weight, "row"), "members")
-    found = None
-    for turn in range(1, 1 << 30):
-        lead = left.groupBy("key").agg(F.max(F.struct("weight", (-F.col("row")).alias("least"), "n")).alias("top"), F.count("*").alias("size")).where("size > 1")
-        lead = cut(lead.select("key", (-F.col("top.least")).alias("v"), F.col("top.n").alias("m")), "leaders")
-        if lead.isEmpty():
+    weight = cut(members.groupBy("row").agg(F.sum("size").alias("weight")), "weights")
+    words = cut(rows.select("row", "words").join(weight.select("row"), "row"), "words")
+    # label: the least text known to be of the same class
+    left = cut(members.drop("size").join(weight, "row").withColumns({"label": F.col("row"), "index": F.lit(True)}), "left")
+    # with lengths further apart than this no alignment reaches LIKE
+    near = F.least("n", "m") * LIKE[1] >= F.greatest("n", "m") * LIKE[0]
+    found = tested = None
+    for turn in itertools.count(1):
+        top = F.max(F.struct("index", "weight", (-F.col("row")).alias("least"), "n", "label")).alias("top")
+        buckets = left.groupBy("key").agg(top, F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1 and top.index")
+        buckets = cut(buckets.select("key", "size", (-F.col("top.least")).alias("v"), F.col("top.n").alias("m"), F.col("top.label").alias("lv")), "buckets")
+        if buckets.isEmpty():
             break
-        met = left.join(lead, "key")
-        # with lengths further apart than this no alignment reaches LIKE
-        near = F.least("n", "m") * LIKE[1] >= F.greatest("n", "m") * LIKE[0]
-        pairs = met.where(near & (F.col("row") != F.col("v"))).select(F.col("row").alias("u"), "v").distinct()
-        if turn > 1:
+        most = SMALL if turn <= ROUNDS else SMALL_AFTER
+        few = left.join(buckets.where(F.col("size") <= most).select("key"), "key").select("key", "row", "n", "label")
+        other = few.select("key", F.col("row").alias("v"), F.col("n").alias("m"), F.col("label").alias("lv"))
+        small = few.join(other, "key").where(F.col("row") < F.col("v"))
+        large = left.join(buckets.where(F.col("size") > most), "key").where(F.col("row") != F.col("v"))
+        pairs = [x.where(near & (F.col("label") != F.col("lv"))).select(F.col("row").alias("u"), "v", F.col("label").alias("lu"), "lv") for x in (small, large)]
+        pairs = pairs[0].union(pairs[1]).distinct()
+        if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = cut(pairs, "pairs")
-        tested = pairs if turn == 1 else tested.unionByName(pairs)
-        new = cut(_verified(pairs, texts), "links")
-        found = new if found is None else found.unionByName(new)
-        label = components(found)
-        named = left.join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-        of_lead = lead.select("key", "v").join(label.withColumnRenamed("node", "v"), "v", "left").select("key", F.coalesce("label", "v").alias("lead_label"), "v")
-        left = named.join(of_lead, "key").where("label <> lead_label and row <> v").select("row", "n", "band", "key", "weight")
-        if turn % ROUNDS == 0:
-            after = bands.select("row", ((F.col("band") + SKETCHES - 1) % SKETCHES).alias("band"), F.col("key").alias("next"))
-            left = left.join(after, ["row", "band"]).select("row", "n", ((F.col("band") + 1) % SKETCHES).alias("band"), F.xxhash64("key", "next").alias("key"), "weight")
-        left = cut(left, "members")
+        tested = pairs.select("u", "v") if tested is None else tested.unionByName(pairs.select("u", "v"))
+        new = cut(_verified(pairs, words), "links")
+        found = new.select("u", "v") if found is None else found.unionByName(new.select("u", "v"))
+        changes = components(new.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+        left = _relabelled(large.select("row", "n", "key", "index", "weight", "label", "lv"), changes, "label", "lv").where("label <> lv").drop("lv")
+        left = cut(left, "left")
+        if turn == ROUNDS:
+            left = _prefix_buckets(left, words)
         if left.isEmpty():
             break
     return found if found is not None else spark.createDataFrame([], "u long, v long")
@@ -234,10 +289,9 @@ def links(texts: DataFrame) -> DataFrame:
 def classes_of(rows: DataFrame) -> DataFrame:
     """Of a sketched table with doc_id: (_k1, _k2, class) for all texts with words;
     class is the row of one text of it."""
-    reps = rows.where("_k1 is not null").groupBy("_k1", "_k2").agg(F.min("row").alias("row"))
-    reps = cut(reps, "texts")
-    texts = cut(reps.join(rows.select("row", "n", "keys", "words"), "row"), "texts")
-    label = components(links(texts)).withColumnRenamed("node", "row")
+    reps = cut(rows.where("_k1 is not null").groupBy("_k1", "_k2").agg(F.min("row").alias("row")), "texts")
+    texts = rows.select("row", "n", "keys").join(reps.select("row"), "row")
+    label = components(links(rows, texts)).withColumnRenamed("node", "row")
     return cut(reps.join(label, "row", "left").select("_k1", "_k2", F.coalesce("label", "row").alias("class")), "classes")
 
 
