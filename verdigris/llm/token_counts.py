@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import LONG, Encoder, Recent, default_vocabulary, encoder, split_words, text_list
+from .tokens import KEPT, LONG, Encoder, Lookup, byte_letters, core_of, default_vocabulary, encoder, folded, split_words, text_list
 
-NARROW, WIDE = b"\x01", b"\x04"
+#: First byte of a table. A word's own narrow table has none: no difference of a first prefix is as low as the mark of wide ones.
+NARROW, WIDE = b"\x01", b"\x80"
 
 
 class PrefixCounter:
@@ -31,18 +32,29 @@ class PrefixCounter:
 
     def __init__(self, enc: Encoder):
         self.enc = enc
-        self.prefixes = Recent(lambda ps: [len(x) for x in enc.lists(ps)])
-        self.words = Recent(self._steps)
+        if enc.by_word:
+            self.core_prefixes = Lookup(self._count, {})
+            self.cores = Lookup(self._core, {})
+            self.words = Lookup(self._word, {})
+            self.ones = {m: bytes([len(x) // enc.dtype.itemsize]) for m, x in enc.marks.items() if m} | {"": b""}
+        self.wide = False
         self.merges = None
 
-    def _steps(self, words: list[str]) -> list[bytes]:
-        """Tables of short words; the library counts each distinct prefix."""
-        out = []
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            known = self.prefixes.load({w[:j] for w in part for j in range(1, len(w) + 1)})
-            out += [steps_of([known[w[:j]] for j in range(1, len(w) + 1)]) for w in part]
-        return out
+    def _count(self, prefix: str) -> int:
+        return len(self.enc.merge(byte_letters(prefix)))
+
+    def _core(self, letters: str) -> bytes:
+        """Table of plain letters; the library counts each distinct prefix."""
+        known = self.core_prefixes
+        return steps_of([known[letters[:j]] for j in range(1, len(letters) + 1)])
+
+    def _word(self, word: str) -> bytes:
+        if len(word) > LONG:
+            out = steps_of(self.long_counts(word) if self.plain(word) else self.few_counts(word))
+            self.wide |= out[:1] == WIDE
+            return out
+        core = core_of(word)
+        return self.cores[core[0]] + self.ones[core[1]] if core else steps_of(self.few_counts(word))
 
     def _load_merges(self) -> None:
         with open(self.enc.path, encoding="utf-8") as f:
@@ -116,30 +128,37 @@ class PrefixCounter:
 
     def tables(self, texts: list[str]) -> list[bytes]:
         """For each text. First byte: the width of a difference; then one for each character."""
-        splits = list(split_words(texts)) if self.enc.by_word else [[t] for t in texts]
-        known = self.words.load({w for s in splits for w in s if len(w) <= LONG}) if self.enc.by_word else {}
-        return [self._table(s, known) for s in splits]
-
-    def _table(self, split: list[str], known: dict) -> bytes:
-        long = [w for w in split if len(w) > LONG or w not in known]
-        own = {w: steps_of(self.long_counts(w) if self.enc.by_word and self.plain(w) else self.few_counts(w)) for w in set(long)}
-        steps = [own[w] if w in own else known[w] for w in split] if own else [known[w] for w in split]
-        if any(s[0] == WIDE[0] for s in steps):
-            gap = np.zeros(1, "<i4").tobytes()
-            return WIDE + gap.join(np.asarray(np.frombuffer(s[1:], "<i4" if s[:1] == WIDE else "i1"), "<i4").tobytes() for s in steps)
-        return NARROW + b"\x00".join([s[1:] for s in steps])
+        if not self.enc.by_word:
+            return [x if x[:1] == WIDE else NARROW + x for x in (steps_of(self.few_counts(t)) for t in texts)]
+        for name in ("core_prefixes", "cores", "words"):
+            own = getattr(self, name)
+            if len(own) > 2 * KEPT:
+                setattr(self, name, Lookup(own.make, dict(own)))
+        known, out = self.words.__getitem__, []
+        for split in split_words(map(folded, texts)):
+            self.wide = False
+            steps = list(map(known, split))
+            # a narrow table is one byte for each character, a wide one holds its mark and four for each
+            out.append(_widened(steps) if self.wide else NARROW + b"\x00".join(steps))
+        return out
 
     def few_counts(self, word: str) -> list[int]:
         """For words whose normal form moves characters: the library encodes each prefix."""
         return [len(x) for i in range(0, len(word), 256) for x in self.enc.lists([word[:j] for j in range(i + 1, min(i + 256, len(word)) + 1)])]
 
 
+def _widened(steps: list[bytes]) -> bytes:
+    gap = np.zeros(1, "<i4").tobytes()
+    return WIDE + gap.join(x[1:] if x[:1] == WIDE else np.frombuffer(x, "i1").astype("<i4").tobytes() for x in steps)
+
+
 def steps_of(counts: list[int]) -> bytes:
+    """Differences of counts: signed bytes if all fit, else WIDE and four bytes for each."""
     if not counts:
-        return NARROW
+        return b""
     d = [b - a for a, b in zip([0, *counts], counts)]
-    if -128 <= min(d) and max(d) < 128:
-        return NARROW + bytes([x & 255 for x in d])
+    if -127 <= min(d) and max(d) < 128:
+        return bytes([x & 255 for x in d])
     return WIDE + np.array(d, "<i4").tobytes()
 
 
