@@ -134,15 +134,14 @@ def suffix_array(text: np.ndarray, depth: int, hashes: Hashes | None = None) ->
 
 
 def common_prefixes(order: np.ndarray, hashes: Hashes, depth: int) -> np.ndarray:
-    """Common prefix of each suffix and the next in ``order``, at most ``depth`` or a little more."""
+    """Common prefix of each suffix and the next in ``order``; exact up to ``depth``."""
     a, b = order[:-1], order[1:]
     n = len(hashes.of[1])
     length = np.zeros(len(a), np.int64)
-    left = depth
     for step in hashes.sizes:
-        for _ in range(2 if step == hashes.sizes[0] else 1):
+        # the longest stretch as often as ``depth`` holds it, each shorter one once
+        for _ in range(max(1, depth // step) if step == hashes.sizes[0] else 1):
             fits = np.maximum(a, b) + length + step <= n
             same = fits & (hashes.at(step, a + length) == hashes.at(step, b + length))
             length += step * same
-    del left
     return length
