@@ -158,6 +158,29 @@ def test_planted_groups(spark):
     assert all(got[d][0] == d for d in (204, 205, 206))
 
 
+def second_generation():
+    """A text, 100 copies of it with one change, and copies of such copies that
+    are alike their parent and not the text."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 101):
+        w = base[:]
+        w[rng.randrange(200)] = f"n{i}"
+        rows.append((i, " ".join(w)))
+        if i % 4 == 0:
+            for p in rng.sample(range(5, 195), 4):
+                w[p] = f"m{i}x{p}"
+            rows.append((1000 + i, " ".join(w)))
+    return rows
+
+
+def test_copies_of_copies_in_a_large_group(spark):
+    rows = second_generation()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == brute_classes(rows)
+
+
 def test_one_of_each_group_stays(spark):
     rows = planted()
     df = spark.createDataFrame([(*r, "x") for r in [*rows, (201, "one two"), (201, "one two"), (None, "one two"), (None, None)]], "doc_id long, text string, _k1 string")

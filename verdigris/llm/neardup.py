@@ -6,16 +6,18 @@ labelled shingles, in text order, make one key, so that texts with the same
 shingles in another order get other keys. Texts that share a key are
 candidates. Those with equal words are one text from the start.
 
-In a bucket of at most SMALL candidates (SMALL_AFTER below) all pairs are compared. In a larger one
+In a bucket of at most SMALL candidates all pairs are compared. In a larger one
 every text is compared with one leader, the text whose keys are the most frequent,
-then those not linked with another leader, and so on until no text is left: pairs
-grow with the bucket, not with its square. After ROUNDS rounds the texts that are
-left, which share common passages as a rule, get new buckets by prefix filtering:
-in any one order of all shingles, two texts that are LIKE or more alike share one
-that is in the first fifth of the larger set and in the first ninth of the smaller
-(bounds for 0.8), so a bucket without a text of the second kind holds no pair. The
-order puts shingles last that are frequent in a bounded sample of these texts, so
-such buckets are small, and lose no pair.
+then for ROUNDS rounds those not linked with another leader. That joins most texts
+of a large group in one class, but rules no pair out. All texts of large buckets
+that still hold several classes get new buckets by prefix filtering: in any one
+order of all shingles, two texts that are LIKE or more alike share one that is in
+the first fifth of the larger set and in the first ninth of the smaller (bounds
+for 0.8), so two texts of which neither is of the second kind there are no pair.
+The order puts shingles last that are frequent in a bounded sample of these texts,
+so such buckets are small. Those of more than SMALL_AFTER texts are compared with a
+leader once more; then all pairs are whose classes still differ, whatever the
+size of the bucket.
 
 A candidate pair is linked if the Jaccard similarity of its shingles is LIKE
 or more and an alignment within a band finds an edit similarity of LIKE or more.
@@ -24,11 +26,9 @@ Classes are the connected components of the links.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, table, words_of
@@ -244,8 +244,33 @@ def _prefix_buckets(left: DataFrame, words: DataFrame) -> DataFrame:
     return cut(found, "prefixes")
 
 
+def _near() -> Column:
+    """Labels differ, and lengths are not so far apart that no alignment reaches LIKE."""
+    return (F.col("label") != F.col("lv")) & (F.least("n", "m") * LIKE[1] >= F.greatest("n", "m") * LIKE[0])
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    """(u, v, lu, lv) with u < v from rows (row, label) and (v, lv)."""
+    turned = F.col("row") > F.col("v")
+    own, other = F.struct(F.col("row").alias("x"), F.col("label").alias("l")), F.struct(F.col("v").alias("x"), F.col("lv").alias("l"))
+    both = met.select(F.when(turned, other).otherwise(own).alias("a"), F.when(turned, own).otherwise(other).alias("b"))
+    return both.select(F.col("a.x").alias("u"), F.col("b.x").alias("v"), F.col("a.l").alias("lu"), F.col("b.l").alias("lv"))
+
+
+def _across(left: DataFrame) -> DataFrame:
+    """Pairs of texts that share a bucket, one of them within its index, and differ in label: each text outside
+    the bucket's largest class meets all texts of other classes, so a bucket of
+    one large class and few others stays far below the square of its size."""
+    counts = left.groupBy("key", "label").agg(F.count("*").alias("c"))
+    main = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("key", F.col("top.label").alias("main"))
+    held = left.join(main, "key")
+    few = held.where("label <> main").select("key", "row", "n", "label", "index")
+    other = held.select("key", F.col("row").alias("v"), F.col("n").alias("m"), F.col("label").alias("lv"), F.col("index").alias("iv"))
+    return _ordered(few.join(other, "key").where(_near() & (F.col("index") | F.col("iv"))))
+
+
 def links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (u, v) between distinct texts (row, n, keys) of a sketched table."""
+    """Links (u, v), u < v, between distinct texts (row, n, keys) of a sketched table."""
     spark = texts.sparkSession
     bands = cut(texts.where("keys is not null").select("row", "n", F.explode("keys").alias("key")), "bands")
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -253,37 +278,49 @@ def links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     weight = cut(members.groupBy("row").agg(F.sum("size").alias("weight")), "weights")
     words = cut(rows.select("row", "words").join(weight.select("row"), "row"), "words")
     # label: the least text known to be of the same class
-    left = cut(members.drop("size").join(weight, "row").withColumns({"label": F.col("row"), "index": F.lit(True)}), "left")
-    # with lengths further apart than this no alignment reaches LIKE
-    near = F.least("n", "m") * LIKE[1] >= F.greatest("n", "m") * LIKE[0]
+    start = cut(members.join(weight, "row").withColumns({"label": F.col("row"), "index": F.lit(True)}), "left")
     found = tested = None
-    for turn in itertools.count(1):
-        top = F.max(F.struct("index", "weight", (-F.col("row")).alias("least"), "n", "label")).alias("top")
-        buckets = left.groupBy("key").agg(top, F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1 and top.index")
-        buckets = cut(buckets.select("key", "size", (-F.col("top.least")).alias("v"), F.col("top.n").alias("m"), F.col("top.label").alias("lv")), "buckets")
-        if buckets.isEmpty():
-            break
-        most = SMALL if turn <= ROUNDS else SMALL_AFTER
-        few = left.join(buckets.where(F.col("size") <= most).select("key"), "key").select("key", "row", "n", "label")
-        other = few.select("key", F.col("row").alias("v"), F.col("n").alias("m"), F.col("label").alias("lv"))
-        small = few.join(other, "key").where(F.col("row") < F.col("v"))
-        large = left.join(buckets.where(F.col("size") > most), "key").where(F.col("row") != F.col("v"))
-        pairs = [x.where(near & (F.col("label") != F.col("lv"))).select(F.col("row").alias("u"), "v", F.col("label").alias("lu"), "lv") for x in (small, large)]
-        pairs = pairs[0].union(pairs[1]).distinct()
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        """Changes of labels by the links among the pairs not tested before."""
+        nonlocal found, tested
+        pairs = pairs.dropDuplicates(["u", "v"])
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = cut(pairs, "pairs")
         tested = pairs.select("u", "v") if tested is None else tested.unionByName(pairs.select("u", "v"))
         new = cut(_verified(pairs, words), "links")
         found = new.select("u", "v") if found is None else found.unionByName(new.select("u", "v"))
-        changes = components(new.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+        return components(new.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+
+    def led(left: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs with the leader in buckets of more than ``most`` texts; and those texts, with the leader's label."""
+        top = F.max(F.struct("index", "weight", (-F.col("row")).alias("least"), "n", "label")).alias("top")
+        buckets = left.groupBy("key").agg(top, F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1 and top.index").where(F.col("size") > most)
+        buckets = cut(buckets.select("key", (-F.col("top.least")).alias("v"), F.col("top.n").alias("m"), F.col("top.label").alias("lv")), "buckets")
+        large = left.join(buckets, "key")
+        return _ordered(large.where(_near())), large
+
+    few = start.where(F.col("size") <= SMALL).select("key", "row", "n", "label")
+    small = few.join(few.select("key", F.col("row").alias("v"), F.col("n").alias("m"), F.col("label").alias("lv")), "key").where(_near() & (F.col("row") < F.col("v")))
+    whole = left = start.where(F.col("size") > SMALL).drop("size")
+    for turn in range(ROUNDS):
+        pairs, large = led(left, 1)
+        changes = tried(pairs.unionByName(_ordered(small)) if turn == 0 else pairs)
         left = _relabelled(large.select("row", "n", "key", "index", "weight", "label", "lv"), changes, "label", "lv").where("label <> lv").drop("lv")
         left = cut(left, "left")
-        if turn == ROUNDS:
-            left = _prefix_buckets(left, words)
-        if left.isEmpty():
-            break
-    return found if found is not None else spark.createDataFrame([], "u long, v long")
+        # leaders only name classes: pairs are settled below, over all texts of buckets with several classes
+        whole = cut(_relabelled(whole, changes, "label"), "left")
+    several = whole.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
+    left = cut(whole.join(several, "key"), "left")
+    if left.isEmpty():
+        return found
+    left = _prefix_buckets(left, words)
+    pairs, _ = led(left, SMALL_AFTER)
+    changes = tried(pairs)
+    left = cut(_relabelled(left, changes, "label"), "left")
+    tried(_across(left))
+    return found
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
