@@ -81,3 +81,19 @@ def test_non_negative_risk_learns_without_negatives():
     bad = ["table | row | " + "".join(rng.choice([*"abcdef "], 60)) for _ in range(100)]
     model = quality.fit_pu(good + bad, np.array([1.0] * 250 + [0.0] * 150), prior=0.75)
     assert model.scores(good[250:]).mean() > 0.8 > 0.5 > model.scores(bad).mean()
+
+
+def test_marks_of_other_texts_do_not_matter_and_unlabelled_ones_do(spark):
+    docs, labels = tables(spark)
+    kind = {r.text: r.y for r in quality.drawn_sample(docs, labels.where("doc_id < 150")).collect()}
+    assert {1, 2, 3} >= set(kind.values()) and any(int(t.split()[-1]) >= 150 for t in kind if t)
+    key = lambda x: sorted((str(r.doc_id), r.score) for r in x.collect())
+    assert key(quality.quality(docs, labels)) == key(quality.quality(docs, labels.where("quality = 1")))
+
+
+def test_prior_is_that_of_the_unlabelled_text():
+    rng = np.random.default_rng(1)
+    some = lambda head, n: [head + "".join(rng.choice([*"abcdef "], 60)) for _ in range(n)]
+    texts = some("good fine ", 300) + some("good fine ", 150) + some("table | row | ", 350)
+    got = quality.estimated_prior(texts, np.repeat([1.0, 0.0], [300, 500]), np.repeat([0.0, 1.0], [300, 500]))
+    assert abs(got - 0.3) < 0.06
