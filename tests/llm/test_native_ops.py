@@ -116,6 +116,15 @@ def test_shuffled_seeds_agree(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.overlaps(docs, bench, ["doc_id"]).collect())) == a and a
 
 
+def test_shuffled_seeds_keep_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    item = words(1, 30)
+    rows = [(None, " ".join(item)), (None, " ".join(words(2, 30))), (None, " ".join(item[:14])), (8, " ".join(item)), (8, " ".join(words(9, 30)))]
+    bench = spark.createDataFrame([(10, " ".join(item)), (11, " ".join(words(9, 30)))], "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.overlaps(docs_of(spark, rows), bench, ["doc_id"]).collect()}
+    assert got == {(None, 10, 12), (8, 10, 12), (8, 11, 12)}
+
+
 def test_license_rules(spark):
     mit = "MIT License\n\nCopyright (c) 2020 A\n\n" + ". ".join(s for i, s in licenses.SENTENCES if i in ("mit_grant", "mit_notice", "mit_as_is")) + "."
     swapped = ". ".join(s for i, s in reversed(licenses.SENTENCES) if i in ("mit_grant", "mit_notice", "mit_as_is"))

@@ -65,12 +65,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: list[str]) -> DataFrame
     items = items_of(benchmark)
     seeds = _seeds(items, "_item", "_q").select("_seed", "_ik", "_q")
     n = seeds.count()
-    have = _seeds(docs.select(*key, token_hashes(F.col("text")).alias("_doc")), "_doc", "_p")
+    tokens = docs.select(*key, token_hashes(F.col("text")).alias("_doc"))
+    have = _seeds(tokens, "_doc", "_p")
     if n <= BROADCAST_SEEDS:
         hits = have.join(F.broadcast(seeds), "_seed").join(F.broadcast(items), "_ik")
     else:  # documents' tokens are not shuffled by seed: hits first, then tokens by key
-        thin = have.select(*key, "_p", "_seed").join(seeds.hint("shuffle_merge"), "_seed").drop("_seed").distinct()
-        hits = thin.join(docs.select(*key, token_hashes(F.col("text")).alias("_doc")), key).join(items, "_ik")
+        # by key and tokens, so that rows of one key, or of none, are not all joined with each other
+        marks = {"_t1": F.xxhash64("_doc"), "_t2": F.xxhash64(F.lit(7), "_doc")}
+        thin = have.withColumns(marks).select(*key, "_t1", "_t2", "_p", "_seed").join(seeds.hint("shuffle_merge"), "_seed").drop("_seed").distinct()
+        whole = tokens.withColumns(marks).distinct().select(*[F.col(k).alias(f"_of_{k}") for k in key], F.col("_t1").alias("_o1"), F.col("_t2").alias("_o2"), "_doc")
+        same = (F.col("_t1") == F.col("_o1")) & (F.col("_t2") == F.col("_o2"))
+        for k in key:
+            same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+        hits = thin.join(whole, same).join(items, "_ik")
     need = F.when(F.size("_item") >= SPAN, F.lit(NEED)).otherwise(F.size("_item"))
     found = hits.select(*key, "item_id", _best_overlap().alias("matched"), need.alias("_need")).where("matched >= _need")
     return found.groupBy(*key, "item_id").agg(F.max("matched").cast("long").alias("matched"))
