@@ -96,31 +96,55 @@ def test_repeats(spark, monkeypatch, most, piece, stretch):
         assert exact_repeats.remove_repeats(df.limit(0)).count() == 0
 
 
-def shingles(text):
-    w = [x for x in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if x]
-    return w, {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+def words_of(text):
+    return [x for x in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if x]
+
+
+def edits(a, b):
+    """Least number of edits, cell by cell."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def brute_links(texts):
+    """Pairs of an edit similarity of 0.8 or more, among all that length and common words allow."""
+    counts = [collections.Counter(t) for t in texts]
+    out = []
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = texts[i], texts[j]
+        most = max(len(a), len(b))
+        if 5 * min(len(a), len(b)) >= 4 * most and 5 * (counts[i] & counts[j]).total() >= 4 * most:
+            start = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            end = next((k for k, (x, y) in enumerate(zip(a[start:][::-1], b[start:][::-1])) if x != y), min(len(a), len(b)) - start)
+            if 5 * edits(a[start : len(a) - end], b[start : len(b) - end]) <= most:
+                out.append((i, j))
+    return out
 
 
 def brute_classes(rows):
     """Least id of each class, by all pairs."""
-    parts = {d: shingles(t) for d, t in rows}
-    up = {d: d for d in parts}
+    by = {}
+    for d, t in rows:
+        by.setdefault(tuple(words_of(t)) or ("", t or d), []).append(d)
+    texts = list(by)
+    up = list(range(len(texts)))
 
     def top(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for a, b in itertools.combinations(parts, 2):
-        (wa, sa), (wb, sb) = parts[a], parts[b]
-        alike = wa and wa == wb
-        if not alike and sa and sb and 5 * len(sa & sb) >= 4 * len(sa | sb):
-            code = {w: i for i, w in enumerate({*wa, *wb})}
-            alike = neardup.edits_within(np.array([code[w] for w in wa]), np.array([code[w] for w in wb]), max(len(wa), len(wb)) // 5)
-        if alike:
-            x, y = sorted((top(a), top(b)))
-            up[y] = x
-    return {d: top(d) for d in parts}
+    for i, j in brute_links(texts):
+        up[max(top(i), top(j))] = min(top(i), top(j))
+    least = {}
+    for i, t in enumerate(texts):
+        least[top(i)] = min([*by[t], *[least.get(top(i), by[t][0])]])
+    return {d: least[top(i)] for i, t in enumerate(texts) for d in by[t]}
 
 
 def test_near_duplicates_of_documents(spark):
@@ -129,6 +153,17 @@ def test_near_duplicates_of_documents(spark):
     assert got == brute_classes(rows) and len(set(got.values())) < len(got)
 
 
+def test_recall_of_near_pairs(spark):
+    """Of all pairs of an edit similarity of 0.8 or more, 0.9 or more are in one class; others are not."""
+    folder = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.class_id for r in QUERY(spark, folder).collect()}
+    want = brute_classes(rows)
+    near = [(d, c) for d, c in want.items() if d != c]
+    assert len(near) > 50 and sum(got[d] == got[c] for d, c in near) >= 0.98 * len(near)
+    assert all(want[d] == want[c] for d, c in got.items())
+
+
 QUERY = neardup.op9_near_duplicates
 
 
@@ -143,7 +178,7 @@ def planted():
             w[rng.randrange(200)] = f"n{i}"
         rows.append((i, " ".join(w)))
     rows += [(100 + i, " ".join(some(40) + shared + some(40))) for i in range(30)]
-    moved = base[100:] + base[:100]
+    moved = base[100:] + base[:100]  # the same words in another order
     rows += [(200, " ".join(moved)), (201, "one two"), (202, "One, two!"), (203, "one two three"), (204, None), (205, ""), (206, "!!")]
     return rows + [(207, " ".join(["line of words here again"] * 30)), (208, " ".join(["line of words here again"] * 29)), (300, " ".join(some(3000)))]
 
@@ -183,7 +218,7 @@ def test_copies_of_copies_in_a_large_group(spark):
 
 def test_one_of_each_group_stays(spark):
     rows = planted()
-    df = spark.createDataFrame([(*r, "x") for r in [*rows, (201, "one two"), (201, "one two"), (None, "one two"), (None, None)]], "doc_id long, text string, _k1 string")
+    df = spark.createDataFrame([(*r, "x") for r in [*rows, (201, "one two"), (201, "one two"), (None, "one two"), (None, None)]], "doc_id long, text string, k1 string")
     out = neardup.deduplicate(df)
     assert out.columns == df.columns
     want = {*brute_classes(rows).values()}
@@ -192,19 +227,55 @@ def test_one_of_each_group_stays(spark):
     assert neardup.deduplicate(df.limit(0)).count() == 0 and neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_blocks_of_large_buckets(spark, monkeypatch):
+    """Texts that share a passage and are unlike, among near copies: any cut into blocks gives the same."""
+    rng = random.Random(8)
+    some = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    shared = some(90)
+    rows = [(i, " ".join(some(60) + shared)) for i in range(60)]
+    for i in range(60, 90):
+        w = rows[rng.randrange(60)][1].split()
+        for p in rng.sample(range(150), 12):
+            w[p] = f"n{i}x{p}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    assert len(set(want.values())) == 60
+    for block in (2048, 7):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == want
+
+
+def test_equal_texts_without_words(spark):
+    rows = [(1, "!!"), (2, "!!"), (3, "--"), (4, ""), (5, ""), (6, None), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.near_duplicates(df).collect()}
+    assert got == {1: (1, 2), 2: (1, 2)} | {d: (d, 1) for d in (3, 4, 5, 6, 7)}
+    assert sorted(r.doc_id for r in neardup.deduplicate(df).collect()) == [1, 3, 4, 5, 6, 7]
+
+
+def test_extra_columns_keep_their_values(spark):
+    rows = [(*r, f"a{i}", i, {"m": i}) for i, r in enumerate([*planted(), (201, "one two"), (None, None)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k1 string, row int, doc map<string, int>")
+    left = neardup.deduplicate(df)
+    assert left.columns == df.columns
+    all_ = {tuple(map(str, r)) for r in rows}
+    assert {tuple(map(str, r)) for r in left.collect()} <= all_
+    assert sorted(map(str, left.collect())) == sorted(map(str, neardup.deduplicate(df.repartition(7)).collect()))
+
+
 def test_edits():
     rng = random.Random(2)
-    for _ in range(200):
+    for i in range(400):
         a = [rng.randrange(4) for _ in range(rng.randrange(12))]
         b = [rng.randrange(4) for _ in range(rng.randrange(12))]
-        d = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            e = [i + 1]
-            for j, y in enumerate(b):
-                e.append(min(d[j] + (x != y), d[j + 1] + 1, e[j] + 1))
-            d = e
+        d = edits(a, b)
         for most in range(14):
-            assert neardup.edits_within(np.array(a), np.array(b), most) == (d[-1] <= most)
+            assert neardup.edits_within(np.array(a, int), np.array(b, int), most) == min(d, most + 1)
+    a = np.array([rng.randrange(40) if i % 3 else 7 for i in range(5000)])
+    b = np.delete(a, [5, 900, 4000])
+    b[[100, 2000]] = 99
+    assert neardup.edits_within(a, b, 1000) == 5 and neardup.edits_within(b, a, 4) == 5
 
 
 def test_components(spark):

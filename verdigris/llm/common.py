@@ -60,7 +60,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Removes the files of tables that cut() wrote and that nothing reads any more."""
+    for t in tables:
+        if getattr(t, "cut_path", None):
+            remove_path(t.sparkSession, t.cut_path)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64 bits that stand for a whole row."""
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.xxhash64(*plain)
 
 
 def text_key(text: Column) -> list[Column]:

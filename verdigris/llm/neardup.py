@@ -6,22 +6,18 @@ labelled shingles, in text order, make one key, so that texts with the same
 shingles in another order get other keys. Texts that share a key are
 candidates. Those with equal words are one text from the start.
 
-In a bucket of at most SMALL candidates all pairs are compared. In a larger one
-every text is compared with one leader, the text whose keys are the most frequent,
-then for ROUNDS rounds those not linked with another leader. That joins most texts
-of a large group in one class, but rules no pair out. All texts of large buckets
-that still hold several classes get new buckets by prefix filtering: in any one
-order of all shingles, two texts that are LIKE or more alike share one that is in
-the first fifth of the larger set and in the first ninth of the smaller (bounds
-for 0.8), so two texts of which neither is of the second kind there are no pair.
-The order puts shingles last that are frequent in a bounded sample of these texts,
-so such buckets are small. Those of more than SMALL_AFTER texts are compared with a
-leader once more; then all pairs are whose classes still differ, whatever the
-size of the bucket.
-
-A candidate pair is linked if the Jaccard similarity of its shingles is LIKE
-or more and an alignment within a band finds an edit similarity of LIKE or more.
-Classes are the connected components of the links.
+A candidate pair is linked if an alignment within a band finds an edit similarity
+of LIKE or more: insertions, deletions and substitutions of words turn one into
+the other, one fifth of the longer text's words at most. Classes are the
+connected components of the links.
+
+Every text of a bucket (the texts of one key) is compared with its leader, the
+text whose keys are the most frequent. That joins most texts of a large group in
+one class, but rules no pair out: in buckets that still hold several classes all
+pairs of different classes are compared, in memory and block against block, so
+that no task holds more than two blocks and no pair becomes a row. A pair is
+looked at in the first bucket that it shares, and aligned only if the words in
+common, counted without their order, allow the similarity.
 """
 
 from __future__ import annotations
@@ -30,22 +26,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, small_batches, table, words_of
+from .common import cut, row_hash, small_batches, spent, table, words_of
 from .components import components
 
-#: Texts that are just LIKE share a key with probability 0.8 ** DRAWN or so: all SKETCHES miss 3 of 100,000 such pairs.
-SHINGLE, SKETCHES, DRAWN = 5, 20, 4
+#: Texts whose labelled shingles have a Jaccard similarity s share a key with probability s ** DRAWN, so all
+#: SKETCHES miss 1 of 1000 pairs at 0.4 (one word in twelve changed) and 4 of 100 at 0.28.
+SHINGLE, SKETCHES, DRAWN = 5, 40, 2
 #: Similarity, as a fraction.
 LIKE = (4, 5)
-ROUNDS, SMALL, SMALL_AFTER = 2, 6, 32
-#: Texts whose shingles are counted for the order of prefix filtering.
-ORDER_TEXTS = 1000
+#: Most texts and, about, most words of a block.
+BLOCK, BLOCK_WORDS = 2048, 1 << 21
 #: Words sketched at once; a longer text is sketched alone.
 CHUNK = 1 << 19
+#: Bits of a position beside a hash.
+PLACE = 24
+#: Counters of a text's words by hash, for bounds on common words.
+COUNTERS = 1024
+#: Salts over which the rows of one class are dealt.
+SALTS = 16
 
 _U = np.uint64
 _MULT = np.random.default_rng(20).integers(1, 2**63, SHINGLE + 2 * SKETCHES + 2, dtype=np.uint64) * _U(2) + _U(1)
+_PLACES, _TOP = _U((1 << PLACE) - 1), _U(2**64 - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,6 +70,23 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return h
 
 
+def _least(v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(DRAWN, texts): the least values of each text, their last PLACE bits cleared, and their positions."""
+    if len(v) >= 1 << PLACE:  # one very long text
+        v = v & ~_PLACES
+        at = np.argpartition(v, min(DRAWN, len(v) - 1))[:DRAWN]
+        at = at[np.lexsort((at, v[at]))]
+        return v[at, None], at[:, None]
+    v = (v & ~_PLACES) | np.arange(len(v), dtype=np.uint64)
+    out = []
+    for _ in range(DRAWN):
+        m = np.minimum.reduceat(v, first)
+        v[(m[m != _TOP] & _PLACES).astype(np.int64)] = _TOP
+        out.append(m)
+    out = np.stack(out)
+    return out & ~_PLACES, (out & _PLACES).astype(np.int64)
+
+
 def sketches(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(texts, SKETCHES) keys of texts, of which text i ends at ends[i] in
     ``words``; each has SHINGLE words or more."""
@@ -74,8 +95,7 @@ def sketches(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     count = ends - starts - SHINGLE + 1
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
     text = np.repeat(np.arange(len(ends)), count)
-    at = np.arange(len(text)) - first[text] + starts[text]
-    h = h[at]
+    h = h[np.arange(len(text)) - first[text] + starts[text]]
     # the number of the occurrence: equal shingles of a text meet in a stable sort
     own = _mix(h + text.astype(np.uint64) * _MULT[SHINGLE + 1])
     order = np.argsort(own, kind="stable")
@@ -86,33 +106,25 @@ def sketches(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     nth[order] = np.arange(len(runs)) - begin
     h = _mix(h + nth * _MULT[0])
     out = np.empty((len(ends), SKETCHES), np.uint64)
-    top = _U(2**64 - 1)
     for j in range(SKETCHES):
-        v = _mix((h ^ _MULT[SHINGLE + j]) * _MULT[SHINGLE + SKETCHES + j])
-        least, place = [], []
-        for _ in range(DRAWN):
-            m = np.minimum.reduceat(v, first)
-            hit = np.flatnonzero(v == m[text])
-            p = np.zeros(len(ends), np.int64)
-            p[text[hit[::-1]]] = hit[::-1]
-            v[p] = top
-            least.append(m)
-            place.append(p)
-        least, order = np.stack(least), np.argsort(np.stack(place), axis=0, kind="stable")
+        least, at = _least(_mix((h ^ _MULT[SHINGLE + j]) * _MULT[SHINGLE + SKETCHES + j]), first)
         key = np.full(len(ends), _U(j))
-        for m in np.take_along_axis(least, order, 0):
+        for m in np.take_along_axis(least, np.argsort(at, axis=0, kind="stable"), 0):
             key = _mix(key * _MULT[1] + m)
         out[:, j] = key
     return out
 
 
-def sketched(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Written table: the columns ``keep``, row, _k1 and _k2 (128 bits that stand for the
-    words; null without words), n (words), keys and words (two bytes each)."""
-    small_batches(docs.sparkSession)
-    w = docs.select(*keep, F.monotonically_increasing_id().alias("row"), F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
-    some = F.size("w") > 0
-    w = w.select(*keep, "row", F.when(some, F.xxhash64("w")).alias("_k1"), F.when(some, F.xxhash64(F.lit(7), "w")).alias("_k2"), "w")
+def sketched(docs: DataFrame, keep: list[Column]) -> DataFrame:
+    """Written table: the columns ``keep``, row (a number), k1 and k2 (128 bits that
+    stand for the words, or for the text if it has none; null for null and empty
+    texts), n (words), keys and words (four bytes each)."""
+    small_batches(docs.sparkSession, 500)
+    text = F.col("text")
+    w = docs.select(*keep, F.monotonically_increasing_id().alias("row"), text, F.transform(words_of(text), lambda x: F.xxhash64(x)).alias("w"))
+    key = lambda seed: F.when(F.size("w") > 0, F.xxhash64(F.lit(seed), "w")).when(text != "", F.xxhash64(F.lit(seed + 1), "text"))
+    names = w.columns[: len(keep)]
+    w = w.select(*names, "row", key(0).alias("k1"), key(7).alias("k2"), "w")
 
     def run(batches):
         for b in batches:
@@ -120,13 +132,14 @@ def sketched(docs: DataFrame, keep: list[str]) -> DataFrame:
             flat = lists.flatten().to_numpy().view(np.uint64)
             ends = np.cumsum(pa.compute.list_value_length(lists).to_numpy().astype(np.int64)) if b.num_rows else np.zeros(0, np.int64)
             starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            small = (flat >> _U(16)).astype("<u2")
+            small = (flat >> _U(32)).astype("<u4")
             keys: list = [None] * len(ends)
             long = np.flatnonzero(ends - starts >= SHINGLE)
             at = 0
             while at < len(long):
-                to = at + 1
-                while to < len(long) and ends[long[to]] - starts[long[at]] <= CHUNK:
+                to, size = at + 1, ends[long[at]] - starts[long[at]]
+                while to < len(long) and size + ends[long[to]] - starts[long[to]] <= CHUNK:
+                    size += ends[long[to]] - starts[long[to]]
                     to += 1
                 part = long[at:to]
                 pieces = [flat[starts[i] : ends[i]] for i in part]
@@ -137,235 +150,282 @@ def sketched(docs: DataFrame, keep: list[str]) -> DataFrame:
             words = [small[s:e].tobytes() for s, e in zip(starts, ends)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ends - starts), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())], names=[*b.schema.names[:-1], "n", "keys", "words"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return cut(w.mapInArrow(run, f"{kinds}{', ' if keep else ''}row long, _k1 long, _k2 long, n long, keys array<long>, words binary"), "sketches")
-
-
-def jaccard_reaches(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the sets of shingles are LIKE or more alike."""
-    x, y = np.unique(shingles(a)), np.unique(shingles(b))
-    if min(len(x), len(y)) * LIKE[1] < max(len(x), len(y)) * LIKE[0]:
+    schema = T.StructType([*w.drop("w").schema.fields, T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType())])
+    return cut(w.mapInArrow(run, schema), "sketches")
+
+
+class Text:
+    """Words of a text, and how often each occurs."""
+
+    def __init__(self, raw: bytes):
+        self.words = np.frombuffer(raw, "<u4")
+        self.kinds = None
+
+    def __len__(self):
+        return len(self.words)
+
+    def common(self, other: Text) -> int:
+        """Words in common, without regard to order."""
+        for t in (self, other):
+            if t.kinds is None:
+                t.kinds = np.unique(t.words, return_counts=True)
+        (a, m), (b, n) = self.kinds, other.kinds
+        if not len(b):
+            return 0
+        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        same = b[at] == a
+        return int(np.minimum(m[same], n[at[same]]).sum())
+
+
+class Places:
+    """Bits of the places at which a word stands, from a window on. Frequent
+    words have one number of as many bits as the text has words, others a list."""
+
+    def __init__(self, words: list[int]):
+        at: dict[int, list[int]] = {}
+        for i, x in enumerate(words):
+            at.setdefault(x, []).append(i)
+        many = max(64, len(words) >> 11) if len(words) > 4096 else 0
+        self.lists, self.bits = {}, {}
+        for x, own in at.items():
+            if len(own) <= many:
+                self.lists[x] = own
+            else:
+                raw = np.zeros(len(words) // 8 + 1, np.uint8)
+                np.bitwise_or.at(raw, np.array(own) >> 3, (1 << (np.array(own) & 7)).astype(np.uint8))
+                self.bits[x] = int.from_bytes(raw.tobytes(), "little")
+
+    def window(self, x: int, start: int, full: int) -> int:
+        p = self.bits.get(x)
+        if p is not None:
+            return (p >> start if start >= 0 else p << -start) & full
+        p = 0
+        for i in self.lists.get(x, ()):
+            if i >= start:
+                p |= 1 << (i - start)
+        return p & full
+
+
+def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Least number of insertions, deletions and substitutions that turn a into
+    b, ``most`` + 1 if they are more.
+
+    The band of 2 * most + 1 diagonals goes down with the words of the shorter
+    text; its column is two bit vectors, of places where the count of edits rises
+    and where it falls from one row to the next. The count itself is followed on
+    the diagonal that ends in the last cell."""
+    if len(a) < len(b):
+        a, b = b, a
+    edits = len(a) - len(b)
+    if edits > most:
+        return most + 1
+    places, full, goal = Places(a.tolist()), (1 << 2 * most + 1) - 1, most + edits
+    rise, fall = full & ~((1 << most) - 1), 0
+    for j, x in enumerate(b.tolist()):
+        same = places.window(x, j - most, full)
+        # no edit on the diagonal that leads to a cell
+        free = ((((same & rise) + rise) ^ rise) | same | fall) & full
+        right_up, right_down = fall | (full & ~(free | rise)), free & rise
+        if not free >> goal & 1:
+            edits += 1
+        free >>= 1
+        rise, fall = right_down | (full & ~(free | right_up)), free & right_up
+    return min(edits, most + 1)
+
+
+def reaches(least: int, most: int, common: int) -> bool:
+    """Whether so many words in common, of texts of such lengths, allow LIKE."""
+    return min(least, common) * LIKE[1] >= most * LIKE[0]
+
+
+def alike(x: Text, y: Text) -> bool:
+    least, most = sorted((len(x), len(y)))
+    if not reaches(least, most, least) or not reaches(least, most, x.common(y)):
         return False
-    both = np.concatenate([x, y])
-    both.sort()
-    inter = int((both[1:] == both[:-1]).sum())
-    return inter * LIKE[1] >= (len(x) + len(y) - inter) * LIKE[0]
-
+    limit = most * (LIKE[1] - LIKE[0]) // LIKE[1]
+    return edits_within(x.words, y.words, limit) <= limit
 
-def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """Whether ``most`` or fewer insertions, deletions and substitutions turn a
-    into b. Furthest points are kept for the 2 * most + 1 diagonals of the band."""
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
-        return False
 
-    def run(i: int, k: int) -> int:
-        """From a[i], b[i + k] on, the position in a of the first difference."""
-        size = 16
-        while True:
-            stop = min(i + size, n, m - k)
-            if stop <= i:
-                return i
-            differ = np.flatnonzero(a[i:stop] != b[i + k : stop + k])
-            if len(differ):
-                return i + int(differ[0])
-            if stop == min(n, m - k):
-                return stop
-            i, size = stop, size * 4
-
-    far = {0: run(0, 0)}
-    for e in range(most + 1):
-        if far.get(m - n, -1) >= n:
-            return True
-        new = {}
-        for k in range(-e - 1, e + 2):
-            i = max(far.get(k, -2) + 1, far.get(k + 1, -2) + 1, far.get(k - 1, -2))
-            i = min(i, n, m - k)
-            if i >= 0 and i + k >= 0:
-                new[k] = run(i, k)
-        far = new
-    return False
-
-
-def alike(a: bytes, b: bytes) -> bool:
-    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
-    if not jaccard_reaches(x, y):
-        return False
-    return edits_within(x, y, max(len(x), len(y)) * (LIKE[1] - LIKE[0]) // LIKE[1])
+def _near(n: str, m: str) -> Column:
+    return F.least(n, m) * LIKE[1] >= F.greatest(n, m) * LIKE[0]
 
 
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Of pairs (u, v, lu, lv), those that are alike."""
+    """Of pairs (u, v), those that are alike."""
     full = pairs.join(words.select(F.col("row").alias("u"), F.col("words").alias("a")), "u").join(words.select(F.col("row").alias("v"), F.col("words").alias("b")), "v")
 
     def run(batches):
         for b in batches:
-            keep = [alike(x, y) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
-            yield b.select(["u", "v", "lu", "lv"]).filter(pa.array(keep, pa.bool_()))
-
-    return full.select("u", "v", "lu", "lv", "a", "b").mapInArrow(run, "u long, v long, lu long, lv long")
+            keep = [alike(Text(x), Text(y)) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return full.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _cells(open_: DataFrame) -> DataFrame:
+    """Memberships (key, row, label, n) of buckets with several classes, dealt to
+    cells (key, kind, i, j). The largest class of a bucket is parted into blocks,
+    and so is all else; each block of the second sort meets each of both sorts.
+    ``side`` tells the two blocks of a cell apart, and is 0 throughout where a
+    block meets itself."""
+    by_class = open_.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    top = by_class.groupBy("key").agg(F.max(F.struct("c", "label", "s")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    blocks = lambda c, s: F.greatest(F.ceil(c / F.lit(BLOCK)), F.ceil(s / F.lit(BLOCK_WORDS)), F.lit(1)).cast("int")
+    top = top.select("key", F.col("m.label").alias("main"), blocks(F.col("m.c"), F.col("m.s")).alias("a"), blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("b"))
+    rows = open_.join(top, "key").withColumn("main", F.col("label") == F.col("main"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("row"), F.when(F.col("main"), F.col("a")).otherwise(F.col("b"))).cast("int"))
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    none, own = F.lit(0), F.col("own")
+    others = F.transform(upto("b"), lambda j: cell(1, F.least(j, own), F.greatest(j, own), F.when(j == own, 0).when(j > own, 1).otherwise(2)))
+    cells = (
+        F.when((F.col("a") == 1) & (F.col("b") == 1), F.array(cell(2, none, none, none)))
+        .when(F.col("main"), F.transform(upto("b"), lambda j: cell(0, own, j, F.lit(1))))
+        .otherwise(F.concat(F.transform(upto("a"), lambda i: cell(0, i, own, F.lit(2))), others))
+    )
+    return rows.select("key", "row", "label", "n", F.explode(cells).alias("cell")).select("key", "row", "label", "n", "cell.*")
+
+
+def _compared(jk: int, row, label, n, side, keys, raws) -> list[tuple[int, int]]:
+    """Links between texts of different labels and sides of a cell whose key is the jk-th of their keys."""
+    texts = [Text(x) for x in raws]
+    counts = None
+    if len(texts) > 8:
+        counts = np.zeros((len(texts), COUNTERS), np.uint16 if n.max() < 1 << 16 else np.uint32)
+        for i, t in enumerate(texts):
+            counts[i] = np.bincount(t.words % COUNTERS, minlength=COUNTERS)
+    up: dict[int, int] = {}
+
+    def top(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    out = []
+    for x in range(len(texts) - 1):
+        y = np.arange(x + 1, len(texts))
+        least, most = np.minimum(n[y], n[x]), np.maximum(n[y], n[x])
+        y = y[(label[y] != label[x]) & ((side[y] != side[x]) | (side[x] == 0)) & (least * LIKE[1] >= most * LIKE[0])]
+        if jk and len(y):  # pairs that share an earlier key meet there
+            y = y[~(keys[y, :jk] == keys[x, :jk]).any(axis=1)]
+        if counts is not None and len(y):
+            bound = np.minimum(counts[y], counts[x]).sum(axis=1, dtype=np.int64)
+            y = y[bound * LIKE[1] >= np.maximum(n[y], n[x]) * LIKE[0]]
+        for i in y.tolist():
+            p, q = top(int(label[x])), top(int(label[i]))
+            if p != q and alike(texts[x], texts[i]):
+                out.append((int(row[x]), int(row[i])))
+                up[max(p, q)] = min(p, q)
+    return out
 
 
-def _relabelled(df: DataFrame, changes: DataFrame, *names: str) -> DataFrame:
-    for name in names:
-        new = changes.select(F.col("node").alias(name), F.col("label").alias("_new"))
-        df = df.join(new, name, "left").withColumn(name, F.coalesce("_new", name)).drop("_new")
-    return df
+def _links_of_cells(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) found in the cells; texts has row, keys and words."""
+    full = cells.join(texts.select("row", "keys", "words"), "row")
+    place = ["key", "kind", "i", "j"]
+    names = ["row", "label", "n", "side", "keys", "words"]
 
+    def solve(held):
+        t = pa.Table.from_batches(held).combine_chunks()
+        if t.num_rows < 2:
+            return []
+        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, SKETCHES)
+        jk = int(np.flatnonzero(keys[0] == t.column("key")[0].as_py())[0])
+        numbers = [t.column(c).to_numpy() for c in names[:4]]
+        return _compared(jk, *numbers, keys, t.column("words").to_pylist())
 
-def _prefix_buckets(left: DataFrame, words: DataFrame) -> DataFrame:
-    """The texts of ``left`` with their prefix shingles as keys."""
-    texts = left.groupBy("row").agg(F.first("n").alias("n"), F.first("weight").alias("weight"), F.first("label").alias("label"))
-    texts = cut(texts.join(words, "row"), "unresolved")
-    sample = texts.orderBy(F.xxhash64("row"), "row").limit(ORDER_TEXTS).select("words").collect()
-    seen = [np.unique(shingles(np.frombuffer(r.words, "<u2"))) for r in sample]
-    value, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *seen]), return_counts=True)
-    shared = left.sparkSession.sparkContext.broadcast((value[count > 1], count[count > 1]))
+    def packed(found):
+        u, v = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     def run(batches):
-        value, count = shared.value
+        held, last = [], None
         for b in batches:
-            out, of, index = [], [], []
-            for i, w in enumerate(b.column("words").to_pylist()):
-                s = np.unique(shingles(np.frombuffer(w, "<u2")))
-                frequent = np.zeros(len(s), np.int64)
-                if len(value):
-                    at = np.minimum(np.searchsorted(value, s), len(value) - 1)
-                    frequent = np.where(value[at] == s, count[at], 0)
-                first = len(s) - -(-len(s) * LIKE[0] // LIKE[1]) + 1
-                out.append(s[np.lexsort((s, frequent))[:first]].view(np.int64))
-                of += [i] * len(out[-1])
-                small = len(s) - -(-len(s) * 2 * LIKE[0] // sum(LIKE)) + 1
-                index += [j < small for j in range(len(out[-1]))]
-            rows = b.drop_columns(["words"]).take(pa.array(of, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *out])), pa.array(index, pa.bool_())], names=["row", "n", "weight", "label", "key", "index"])
-
-    found = texts.select("row", "n", "weight", "label", "words").mapInArrow(run, "row long, n long, weight long, label long, key long, index boolean")
-    return cut(found, "prefixes")
-
-
-def _near() -> Column:
-    """Labels differ, and lengths are not so far apart that no alignment reaches LIKE."""
-    return (F.col("label") != F.col("lv")) & (F.least("n", "m") * LIKE[1] >= F.greatest("n", "m") * LIKE[0])
-
-
-def _ordered(met: DataFrame) -> DataFrame:
-    """(u, v, lu, lv) with u < v from rows (row, label) and (v, lv)."""
-    turned = F.col("row") > F.col("v")
-    own, other = F.struct(F.col("row").alias("x"), F.col("label").alias("l")), F.struct(F.col("v").alias("x"), F.col("lv").alias("l"))
-    both = met.select(F.when(turned, other).otherwise(own).alias("a"), F.when(turned, own).otherwise(other).alias("b"))
-    return both.select(F.col("a.x").alias("u"), F.col("b.x").alias("v"), F.col("a.l").alias("lu"), F.col("b.l").alias("lv"))
-
-
-def _across(left: DataFrame) -> DataFrame:
-    """Pairs of texts that share a bucket, one of them within its index, and differ in label: each text outside
-    the bucket's largest class meets all texts of other classes, so a bucket of
-    one large class and few others stays far below the square of its size."""
-    counts = left.groupBy("key", "label").agg(F.count("*").alias("c"))
-    main = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("key", F.col("top.label").alias("main"))
-    held = left.join(main, "key")
-    few = held.where("label <> main").select("key", "row", "n", "label", "index")
-    other = held.select("key", F.col("row").alias("v"), F.col("n").alias("m"), F.col("label").alias("lv"), F.col("index").alias("iv"))
-    return _ordered(few.join(other, "key").where(_near() & (F.col("index") | F.col("iv"))))
+            if not b.num_rows:
+                continue
+            cols = [b.column(c).to_numpy() for c in place]
+            new = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)]))
+            found = []
+            for s, e in zip(new, [*new[1:], b.num_rows]):
+                this = tuple(int(c[s]) for c in cols)
+                if held and this != last:
+                    found += solve(held)
+                    held = []
+                held.append(b.slice(s, e - s))
+                last = this
+            yield packed(found)
+        if held:
+            yield packed(solve(held))
+
+    return full.select(*place, *names).repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "u long, v long")
 
 
 def links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (u, v), u < v, between distinct texts (row, n, keys) of a sketched table."""
-    spark = texts.sparkSession
-    bands = cut(texts.where("keys is not null").select("row", "n", F.explode("keys").alias("key")), "bands")
+    """Links (u, v) between distinct texts (row, n, keys) of a sketched table."""
+    bands = texts.where("keys is not null").select("row", "n", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(bands.join(shared, "key"), "members")
     weight = cut(members.groupBy("row").agg(F.sum("size").alias("weight")), "weights")
-    words = cut(rows.select("row", "words").join(weight.select("row"), "row"), "words")
-    # label: the least text known to be of the same class
-    start = cut(members.join(weight, "row").withColumns({"label": F.col("row"), "index": F.lit(True)}), "left")
-    found = tested = None
-
-    def tried(pairs: DataFrame) -> DataFrame:
-        """Changes of labels by the links among the pairs not tested before."""
-        nonlocal found, tested
-        pairs = pairs.dropDuplicates(["u", "v"])
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        tested = pairs.select("u", "v") if tested is None else tested.unionByName(pairs.select("u", "v"))
-        new = cut(_verified(pairs, words), "links")
-        found = new.select("u", "v") if found is None else found.unionByName(new.select("u", "v"))
-        return components(new.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
-
-    def led(left: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-        """Pairs with the leader in buckets of more than ``most`` texts; and those texts, with the leader's label."""
-        top = F.max(F.struct("index", "weight", (-F.col("row")).alias("least"), "n", "label")).alias("top")
-        buckets = left.groupBy("key").agg(top, F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1 and top.index").where(F.col("size") > most)
-        buckets = cut(buckets.select("key", (-F.col("top.least")).alias("v"), F.col("top.n").alias("m"), F.col("top.label").alias("lv")), "buckets")
-        large = left.join(buckets, "key")
-        return _ordered(large.where(_near())), large
-
-    few = start.where(F.col("size") <= SMALL).select("key", "row", "n", "label")
-    small = few.join(few.select("key", F.col("row").alias("v"), F.col("n").alias("m"), F.col("label").alias("lv")), "key").where(_near() & (F.col("row") < F.col("v")))
-    whole = left = start.where(F.col("size") > SMALL).drop("size")
-    for turn in range(ROUNDS):
-        pairs, large = led(left, 1)
-        changes = tried(pairs.unionByName(_ordered(small)) if turn == 0 else pairs)
-        left = _relabelled(large.select("row", "n", "key", "index", "weight", "label", "lv"), changes, "label", "lv").where("label <> lv").drop("lv")
-        left = cut(left, "left")
-        # leaders only name classes: pairs are settled below, over all texts of buckets with several classes
-        whole = cut(_relabelled(whole, changes, "label"), "left")
-    several = whole.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
-    left = cut(whole.join(several, "key"), "left")
-    if left.isEmpty():
-        return found
-    left = _prefix_buckets(left, words)
-    pairs, _ = led(left, SMALL_AFTER)
-    changes = tried(pairs)
-    left = cut(_relabelled(left, changes, "label"), "left")
-    tried(_across(left))
-    return found
+    words = cut(rows.select("row", "keys", "words").join(weight.select("row"), "row"), "words")
+    # leaders: the text of the greatest weight
+    lead = members.join(weight, "row").groupBy("key").agg(F.max(F.struct("weight", (-F.col("row")).alias("v"), "n")).alias("top"))
+    lead = lead.select("key", (-F.col("top.v")).alias("v"), F.col("top.n").alias("m"))
+    pairs = members.join(lead, "key").where((F.col("row") != F.col("v")) & _near("n", "m")).select(F.col("row").alias("u"), "v").distinct()
+    found = cut(_verified(pairs, words), "links")
+    label = components(found)
+    members_ = members.join(label.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "n", F.coalesce("label", "row").alias("label"))
+    labelled = cut(members_, "labelled")
+    several = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
+    open_ = cut(labelled.join(several, "key"), "open")
+    more = cut(_links_of_cells(_cells(open_), words), "links")
+    spent(members, weight, words, labelled, open_, label)
+    return found.unionByName(more)
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """Of a sketched table with doc_id: (_k1, _k2, class) for all texts with words;
-    class is the row of one text of it."""
-    reps = cut(rows.where("_k1 is not null").groupBy("_k1", "_k2").agg(F.min("row").alias("row")), "texts")
-    texts = rows.select("row", "n", "keys").join(reps.select("row"), "row")
+    """Of a sketched table: (k1, k2, class) for all texts that are not null or
+    empty; class is the row of one text of it."""
+    reps = cut(rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("row").alias("row")), "reps")
+    texts = cut(rows.select("row", "n", "keys").join(reps.select("row"), "row"), "texts")
     label = components(links(rows, texts)).withColumnRenamed("node", "row")
-    return cut(reps.join(label, "row", "left").select("_k1", "_k2", F.coalesce("label", "row").alias("class")), "classes")
+    out = cut(reps.join(label, "row", "left").select("k1", "k2", F.coalesce("label", "row").alias("class")), "classes")
+    spent(reps, texts, label)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class),
     class_size (documents in it).
 
-    Null, empty and wordless texts are alone in their class; texts of less than
-    SHINGLE words are alike only if their words are equal; a null id is never a
-    class_id unless all ids of the class are null; repeated rows are members like
-    others; an empty table gives no rows."""
-    rows = sketched(docs.select("doc_id", "text"), ["doc_id"])
+    Null and empty texts are alone in their class; texts without words are alike
+    only if they are equal, texts of less than SHINGLE words only if their words
+    are; a null id is never a class_id unless all ids of the class are null;
+    repeated rows are members like others; an empty table gives no rows."""
+    rows = sketched(docs.select("doc_id", "text"), [F.col("doc_id")])
     named = classes_of(rows)
-    own = rows.select("doc_id", "row", "_k1", "_k2").join(named, ["_k1", "_k2"], "left").select("doc_id", F.coalesce("class", "row").alias("class"))
-    own = cut(own, "members")
-    sizes = own.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return own.join(sizes, "class").select("doc_id", "class_id", "class_size")
+    own = cut(rows.select("doc_id", "row", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", "row", F.coalesce("class", "row").alias("class")), "members")
+    spent(rows, named)
+    sizes = own.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")
+    # a class may hold a large share of all rows: its one row is joined under several salts
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = own.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["class", "salt"], "left")
+    many = F.col("class_size").isNotNull()
+    return out.select("doc_id", F.when(many, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all their columns: of each class the row of the least
-    doc_id (nulls last), and all texts without words."""
-    rows = sketched(docs.select("doc_id", "text"), ["doc_id"])
+    """Rows of ``docs``, all their columns, one of each class: that of the least
+    doc_id (nulls last; of one id, the least by hashes of the text and of the
+    row), and all rows of null and empty texts. An empty table gives no rows."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = sketched(docs, [whole, row_hash(docs).alias("tie")])
     named = classes_of(rows)
-    own = rows.where("_k1 is not null").select("doc_id", "_k1", "_k2").join(named, ["_k1", "_k2"])
-    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_k1", "_k2")
-    kept = own.groupBy("class").agg(F.min(first).alias("f"))
-    kept = kept.select(F.col("f.doc_id").alias("_id"), F.col("f._k1").alias("_a"), F.col("f._k2").alias("_b"))
-    again = own.groupBy("doc_id", "_k1", "_k2").agg(F.count("*").alias("_times"))
-    kept = cut(kept.join(again, kept._id.eqNullSafe(again.doc_id) & (kept._a == again._k1) & (kept._b == again._k2)).select("_id", "_a", "_b", "_times"), "kept")
-    w = F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x))
-    keyed = docs.withColumn("_w", w)
-    keyed = keyed.withColumns({"_k1": F.xxhash64("_w"), "_k2": F.xxhash64(F.lit(7), "_w"), "_none": F.size("_w") == 0}).drop("_w")
-    hit = keyed.join(kept, keyed.doc_id.eqNullSafe(kept._id) & (keyed._k1 == kept._a) & (keyed._k2 == kept._b))
-    once = hit.where("_times = 1").select(*docs.columns)
-    more = hit.where("_times > 1").dropDuplicates(["_id", "_a", "_b"]).select(*docs.columns)
-    return once.unionByName(more).unionByName(keyed.where("_none").select(*docs.columns))
+    order = F.struct(F.col("doc.doc_id").isNull().alias("a"), F.col("doc.doc_id").alias("b"), F.xxhash64("doc.text").alias("c"), F.col("tie").alias("d"), F.col("row").alias("e"))
+    own = rows.where("k1 is not null").select("k1", "k2", order.alias("o")).join(named, ["k1", "k2"])
+    kept = cut(own.groupBy("class").agg(F.min("o").alias("o")).select(F.col("o.e").alias("row")), "kept")
+    out = cut(rows.where("k1 is not null").select("doc", "row").join(kept, "row").select("doc").unionByName(rows.where("k1 is null").select("doc")), "kept")
+    spent(rows, named, kept)
+    return out.select("doc.*")
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
