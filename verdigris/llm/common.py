@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..paths import on_workers
+from ..paths import local_folder, on_workers
 
 #: Words are runs of letters and digits of the lower-cased text.
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -23,15 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's own folder below ``spark.checkpoint.dir``; a temporary
-    folder is chosen only where that setting is absent (single-machine tests).
-    The folder is removed when the driver's Python ends."""
+    """The session's own folder below ``spark.checkpoint.dir``; where that setting
+    is absent, a temporary folder if the master is local, else an error. The
+    folder is removed when the driver's Python ends."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = tempfile.mkdtemp(prefix="verdigris-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            base = local_folder(spark)
         _folders[app] = f"{base.rstrip('/')}/verdigris-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _folders[app])
     return _folders[app]
@@ -72,6 +70,11 @@ def spent(*tables: DataFrame) -> None:
             remove_path(t.sparkSession, t.cut_path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whose names clash with no others."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def row_hash(df: DataFrame) -> Column:
     """64 bits that stand for a whole row."""
     plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]

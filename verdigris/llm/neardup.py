@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, row_hash, small_batches, spent, table, words_of
+from .common import cut, row_hash, small_batches, spent, table, whole_row, words_of
 from .components import components
 
 #: Texts whose labelled shingles have a Jaccard similarity s share a key with probability s ** DRAWN, so all
@@ -417,8 +417,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, all their columns, one of each class: that of the least
     doc_id (nulls last; of one id, the least by hashes of the text and of the
     row), and all rows of null and empty texts. An empty table gives no rows."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    rows = sketched(docs, [whole, row_hash(docs).alias("tie")])
+    rows = sketched(docs, [whole_row(docs).alias("doc"), row_hash(docs).alias("tie")])
     named = classes_of(rows)
     order = F.struct(F.col("doc.doc_id").isNull().alias("a"), F.col("doc.doc_id").alias("b"), F.xxhash64("doc.text").alias("c"), F.col("tie").alias("d"), F.col("row").alias("e"))
     own = rows.where("k1 is not null").select("k1", "k2", order.alias("o")).join(named, ["k1", "k2"])

@@ -17,14 +17,17 @@ _GAP = b"\x00" * 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """Bytes of some texts, zeros between them; for each byte its text's number
-    less that of the piece's first text; and that."""
-    held, owner, size = [], [], 0
+    less that of the piece's first text, and whether n-grams start there; and the
+    first text. A text cut up overlaps in bytes at which no n-gram starts."""
+    held, owner, starts, size = [], [], [], 0
 
     def done():
         buf = np.frombuffer(b"".join(held) + _GAP, np.uint8)
-        return buf, np.repeat(np.array(owner, np.uint32) - np.uint32(owner[0]), [len(x) for x in held]), owner[0]
+        sizes = [len(x) for x in held]
+        live = np.repeat(np.tile([True, False], len(held)), np.ravel([(s, n - s) for s, n in zip(starts, sizes)]))
+        return buf, np.repeat(np.array(owner, np.uint32) - np.uint32(owner[0]), sizes), live, owner[0]
 
     for i, t in enumerate(texts):
         raw = t.lower().encode("utf-8", "replace")
@@ -32,9 +35,10 @@ def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
             part = raw[at : at + PIECE + max(LENGTHS) - 1] + _GAP
             if held and (size + len(part) > PIECE or i - owner[0] >= 1 << 32 - BITS):
                 yield done()
-                held, owner, size = [], [], 0
+                held, owner, starts, size = [], [], [], 0
             held.append(part)
             owner.append(i)
+            starts.append(min(PIECE, len(raw) - at))
             size += len(part)
     if held:
         yield done()
@@ -49,10 +53,10 @@ def features(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.nda
     """Distinct (text, feature) pairs; only features where ``wanted`` (by feature) is true."""
     rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     split = any(len(t) > PIECE // 4 for t in texts)
-    for buf, owner, first in _pieces(texts):
+    for buf, owner, live, first in _pieces(texts):
         n = len(owner)
         keys = np.ndarray((n,), "<u8", buf, strides=(1,)).copy()
-        real = buf[:n] != 0
+        real = live & (buf[:n] != 0)
         for k, length in enumerate(LENGTHS):
             h = ((keys & np.uint64((1 << 8 * length) - 1)) * _ODD >> np.uint64(64 - BITS)).astype(np.uint32)
             at = np.flatnonzero(real if wanted is None else wanted[k << BITS : (k + 1) << BITS][h] & real)

@@ -147,8 +147,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
     labels every score is the same; an empty table gives no rows."""
     small_batches(docs.sparkSession)
     model = train(drawn_sample(docs, labels), fit_drawn)
-    out = score(docs, model, threshold, ["doc_id"], PerLength)
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    out = score(docs.select(F.col("doc_id").alias("row"), "text"), model, threshold, PerLength)
+    return out.select(F.col("row").alias("doc_id"), (crc_mod(F.col("row"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

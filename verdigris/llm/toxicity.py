@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, small_batches, table
+from .common import crc_mod, small_batches, table, whole_row
 from .ngrams import FEATURES, Linear, Rows, class_counts
 from .tokens import text_list
 from .training import labelled_sample, lbfgs, sigmoid
@@ -83,25 +83,23 @@ def train(sample: DataFrame, fitter) -> bytes:
         model = fitter([texts[i] for i in order], np.array([y[i] for i in order], np.float64))
         yield pa.RecordBatch.from_pydict({"model": pa.array([model.pack()], pa.binary())})
 
-    return sample.select("text", "y").repartition(1).mapInArrow(run, "model binary").first()[0]
+    # a sample without rows may run no task at all
+    row = sample.select("text", "y").repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(row[0]) if row else fitter([], np.zeros(0)).pack()
 
 
-def score(docs: DataFrame, model: bytes, threshold: float, keep: list[str], kind: type[Linear] = Linear) -> DataFrame:
-    """The columns ``keep`` of ``docs``, then _score and _predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    own = "text" in keep
-    names = [*keep, "_score", "_predicted"]
+def score(rows: DataFrame, model: bytes, threshold: float, kind: type[Linear] = Linear) -> DataFrame:
+    """Rows (row, text) as (row, score, predicted); with no column text, the one inside ``row`` is scored."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    own = "text" in rows.columns
 
     def run(batches):
         loaded = kind.unpack(shared.value)
         for b in batches:
-            s = loaded.scores(text_list(b.column("text" if own else "_text")))
-            out = [*b.columns[: len(keep)], pa.array(s), pa.array((s >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            s = loaded.scores(text_list(b.column("text") if own else b.column("row").field("text")))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["row", "score", "predicted"])
 
-    rows = docs.select(*keep) if own else docs.select(*keep, F.col("text").alias("_text"))
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())])
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return rows.mapInArrow(run, schema)
 
 
@@ -116,13 +114,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     Null and empty texts hold no feature and get the bias's score; a null id is
     not held out and never a training row; equal texts get equal scores; without
     labels every score is the same; an empty table gives no rows."""
-    out = score(docs, toxicity_model(docs, labels), threshold, ["doc_id"])
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    out = score(docs.select(F.col("doc_id").alias("row"), "text"), toxicity_model(docs, labels), threshold)
+    return out.select(F.col("row").alias("doc_id"), (crc_mod(F.col("row"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` that are not predicted toxic, with all their columns."""
-    return score(docs, toxicity_model(docs, labels), threshold, docs.columns).where("_predicted = 0").select(*docs.columns)
+    """Rows of ``docs`` that are not predicted toxic, with all their columns.
+
+    Null and empty texts, null and repeated ids and an empty table as in
+    toxicity(); without labels of both kinds no row goes."""
+    return score(docs.select(whole_row(docs).alias("row")), toxicity_model(docs, labels), threshold).where("predicted = 0").select("row.*")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
