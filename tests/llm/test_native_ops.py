@@ -9,11 +9,12 @@ from verdigris.llm.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = DOCS + ", size long, _k1 string, threshold double"
+EXTRA = DOCS + ", size long, _h string, _threshold double, _i int, k1 string, doc string"
+OWN = (1, "x", 2.0, 7, "k", "d")
 
 
 def docs_of(spark, rows, schema=DOCS):
-    return spark.createDataFrame([(*r[:2], "en", r[2] if len(r) > 2 else "s", 0) + (1, "x", 2.0) * (schema is EXTRA) for r in rows], schema)
+    return spark.createDataFrame([(*r[:2], "en", r[2] if len(r) > 2 else "s", 0) + OWN * (schema is EXTRA) for r in rows], schema)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -74,12 +75,33 @@ def test_smaller_budgets_nest(spark):
 def test_mix_repeats_rows_and_keeps_columns(spark):
     df = docs_of(spark, [(i, "w " * 10, "ab"[i >= 90]) for i in range(100)] + [(500, None, "a")], EXTRA)
     out = mixing.mix(df)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and {tuple(r)[5:] for r in out.collect()} == {OWN}
     n = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert all(n[i] == 3 for i in range(90, 100)) and n[500] == 1
     assert mixing.mix(df.limit(0)).collect() == [] and mixing.mix_report(df.limit(0)).collect() == []
 
 
+def test_repeated_rows_are_cut_where_the_budget_ends(spark):
+    rows = [(1, "w w w", "a")] * 50 + [(2, "v " * 100, "b")]
+    got = mixing.mix_report(docs_of(spark, rows)).collect()
+    taken, target = {}, {}
+    for r in got:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+        target[r.doc_id] = r.target
+    assert abs(taken[1] - target[1]) <= 1.5 and 0 < taken[1] < 150
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_report(docs_of(spark, rows)).collect()))
+    assert mixing.mix(docs_of(spark, rows)).where("doc_id = 1").count() * 3 == taken[1]
+
+
+def test_very_long_texts(spark):
+    long = " ".join(words(5, 300_000))
+    rows = [(1, long), (2, long + " " + " ".join(words(1, 30))), (3, "x")]
+    assert {r.doc_id: r.size for r in mixing.mix_report(docs_of(spark, rows)).collect()} == {1: 300_000, 2: 300_030, 3: 1}
+    bench = spark.createDataFrame([(10, " ".join(words(1, 30)))], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.overlaps(docs_of(spark, rows), bench, ["doc_id"]).collect()] == [(2, 10, 12)]
+    assert [r.licenses for r in licenses.scan(docs_of(spark, [(1, long + ". Released under the MIT License.")])).collect()] == ["MIT"]
+
+
 def words(a, n):
     return [f"word{a}x{i}" for i in range(n)]
 
@@ -103,7 +125,7 @@ def test_overlaps_tolerate_substitutions(spark):
     assert {(d, i) for d, i, _ in got} == {(1, 10), (3, 10), (None, 10), (6, 11), (8, 10)}
     assert (3, 10, 12) in got and (6, 11, 5) in got
     left = decontaminate.decontaminate(docs_of(spark, rows, EXTRA), bench)
-    assert left.columns == docs_of(spark, rows, EXTRA).columns
+    assert left.columns == docs_of(spark, rows, EXTRA).columns and {tuple(r)[5:] for r in left.collect()} == {OWN}
     assert sorted(r.doc_id for r in left.collect()) == [2, 4, 5, 7, 8]
     assert decontaminate.decontaminate(docs_of(spark, rows), bench.limit(0)).count() == len(rows)
     assert decontaminate.overlaps(docs_of(spark, rows).limit(0), bench, ["doc_id"]).count() == 0

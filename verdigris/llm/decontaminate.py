@@ -4,8 +4,12 @@ A seed is a fixed mask over token positions; it hashes the selected tokens and
 ignores the others. Seeds of all benchmark items are joined with seeds of all
 documents; around a hit the overlap on the same diagonal is verified token by
 token. Overlap means SPAN aligned tokens of which at least NEED agree (0.8 of
-them or more); an item of fewer tokens must occur whole. Each mask set below is
-such that any SPAN tokens with SPAN - NEED substitutions hold a hit.
+them or more). Each mask set below is such that any SPAN tokens with SPAN - NEED
+substitutions hold a hit.
+
+Two rules for short items: one of LEAST to SPAN - 1 tokens must occur whole, as
+common phrases meet it but for a word; one of fewer tokens ("yes", "Paris") is no
+evidence and never matches.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import whole_row, words_of
 
 SPAN = 12
 NEED = ceil(0.8 * SPAN)
@@ -86,11 +90,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: list[str]) -> DataFrame
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents, all their columns, without those that overlap a benchmark item.
 
-    Judged by id and text together, so a clean row stays although another row
-    with its id is tainted, and null ids are judged by their texts."""
-    keyed = docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(7), "text")})
-    bad = overlaps(keyed, benchmark, ["_k1", "_k2"]).select("_k1", "_k2").distinct()
-    return keyed.join(bad, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    Judged by text: null and empty texts stay, and of rows of one id each goes or
+    stays by its own text. With an empty benchmark all rows stay."""
+    keyed = docs.select(whole_row(docs).alias("doc"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
+    bad = overlaps(keyed.select("k1", "k2", F.col("doc.text").alias("text")), benchmark, ["k1", "k2"]).select("k1", "k2").distinct()
+    return keyed.join(bad, ["k1", "k2"], "left_anti").select("doc.*")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

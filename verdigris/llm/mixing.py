@@ -3,7 +3,8 @@
 Every document has a 60-bit hash. For a budget, a source takes the documents
 whose hash lies below a threshold: sizes are summed by source and hash bucket,
 a running sum finds the bucket in which the budget ends, and only that bucket
-is refined with the next 12 bits, until it holds one document. Nothing is
+is refined with the next 12 bits, until it holds one document; rows equal in id
+and text have one hash and are told apart by a hash of their row number. Nothing is
 sorted; each level shuffles at most 4096 sums per source and task. As all
 budgets of a source use one hash order, the documents of a smaller budget are
 among those of a larger one (nested thresholds).
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, whole_row
 
 BITS, LEVEL_BITS = 60, 12
 #: Most sources whose thresholds are broadcast; more are joined by a salted shuffle.
@@ -39,13 +40,13 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("a"), source), F.lit("z"))
 
 
-def _key_range(df: DataFrame, keys: DataFrame, n: int, how: str = "inner") -> DataFrame:
+def _key_range(df: DataFrame, keys: DataFrame, n: int, by: str = "_h") -> DataFrame:
     """Joins a table of one row per source: broadcast if it has few rows, else
     both sides carry a salt, so that a hot source is spread over SALTS tasks."""
     if n <= BROADCAST_SOURCES:
-        return df.join(F.broadcast(keys), "_skey", how)
+        return df.join(F.broadcast(keys), "_skey")
     salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.withColumn("_salt", F.pmod("_h", F.lit(SALTS)).cast("int")).join(salted, ["_skey", "_salt"], how).drop("_salt")
+    return df.withColumn("_salt", F.pmod(by, F.lit(SALTS)).cast("int")).join(salted, ["_skey", "_salt"]).drop("_salt")
 
 
 def targets(per_source: DataFrame, share: float = 1.0, cap: int = 3, cycle: int = 3) -> DataFrame:
@@ -74,38 +75,65 @@ def targets(per_source: DataFrame, share: float = 1.0, cap: int = 3, cycle: int
     return x.withColumn("target", F.least(limit, F.coalesce(own, limit)).cast("double")).select("_skey", "source_size", "target")
 
 
-def plan_mix(sized: DataFrame, share: float = 1.0, cap: int = 3) -> tuple[DataFrame, int]:
-    """From a table (_skey, _h, size): one row per source with its size,
-    target, whole repeats and hash threshold; and the number of sources."""
-    per_source = cut(targets(sized.groupBy("_skey").agg(F.sum("size").alias("source_size")), share, cap), "mix-sources")
-    n = per_source.count()
-    goal = per_source.withColumn("repeats", F.least(F.floor(F.col("target") / F.greatest("source_size", F.lit(1))), F.lit(cap)).cast("long"))
-    goal = goal.withColumn("_rest", F.col("target") - F.col("repeats") * F.col("source_size"))
-    open_ = goal.where("_rest > 0 and source_size > 0").select("_skey", "_rest", F.lit(0).cast("long").alias("_base"), F.lit(0).cast("long").alias("_prefix"))
-    rows, done = sized.select("_skey", "_h", "size"), None
+def _narrowed(rows: DataFrame, open_: DataFrame, n: int, final: bool) -> tuple[DataFrame, DataFrame]:
+    """Finds where budgets end among rows (_skey, _x, size) with a hash _x. ``open_``
+    has _skey, _rest (the budget) and _base (what lies before). Returns
+    (_skey, threshold), and those budgets that end among several rows of one hash
+    as (_skey, _rest, _base, _prefix); if ``final``, they end before or after all of these."""
+    done, inside, open_ = None, rows, open_.withColumn("_prefix", F.lit(0).cast("long"))
     for shift in range(BITS - LEVEL_BITS, -1, -LEVEL_BITS):
-        inside = _key_range(rows, open_, n).where(F.shiftright("_h", shift + LEVEL_BITS) == F.col("_prefix"))
-        hist = inside.groupBy("_skey", "_rest", "_base", F.shiftright("_h", shift).alias("_bucket")).agg(F.sum("size").alias("_sum"), F.count("*").alias("_n"))
+        held = _key_range(inside, open_, n, "_x").where(F.shiftright("_x", shift + LEVEL_BITS) == F.col("_prefix"))
+        hist = held.groupBy("_skey", "_rest", "_base", F.shiftright("_x", shift).alias("_bucket")).agg(F.sum("size").alias("_sum"), F.count("*").alias("_n"))
         run = Window.partitionBy("_skey").orderBy("_bucket")
         hist = hist.withColumn("_upto", F.col("_base") + F.sum("_sum").over(run))
         # the budget ends in the first bucket whose running sum exceeds it
         edge = hist.where(F.col("_upto") > F.col("_rest")).groupBy("_skey", "_rest").agg(F.min(F.struct("_bucket", "_upto", "_sum", "_n")).alias("_e"))
         edge = cut(edge.select("_skey", "_rest", F.col("_e._bucket").alias("_prefix"), (F.col("_e._upto") - F.col("_e._sum")).alias("_base"), F.col("_e._upto").alias("_upto"), F.col("_e._n").alias("_n")), "mix-edge")
         last = shift == 0
-        end = edge.where(F.lit(last) | (F.col("_n") == 1))
+        end = edge.where(F.lit(last and final) | (F.col("_n") == 1))
         near = (F.col("_rest") - F.col("_base")) > (F.col("_upto") - F.col("_rest"))  # the last document only if that comes nearer
         end = end.select("_skey", F.shiftleft(F.col("_prefix") + near.cast("long"), shift).alias("threshold"))
         done = end if done is None else done.unionByName(end)
-        open_ = edge.where("_n > 1").select("_skey", "_rest", "_base", "_prefix")
+        open_ = edge.where(F.lit(not (last and final)) & (F.col("_n") > 1)).select("_skey", "_rest", "_base", "_prefix")
         if last or open_.isEmpty():
-            break
-        rows = _key_range(sized.select("_skey", "_h", "size"), open_.select("_skey", "_prefix"), n).where(F.shiftright("_h", shift) == F.col("_prefix")).drop("_prefix")
-    plan = goal.drop("_rest").join(done, "_skey", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0).cast("long")))
+            return done, open_
+        inside = _key_range(rows, open_.select("_skey", "_prefix"), n, "_x").where(F.shiftright("_x", shift) == F.col("_prefix")).drop("_prefix")
+
+
+def plan_mix(sized: DataFrame, share: float = 1.0, cap: int = 3) -> tuple[DataFrame, int]:
+    """From a table (_skey, _h, _row, size): one row per source with its size,
+    target, whole repeats and threshold: rows of a smaller _h are taken once more,
+    and of those of the same _h, all alike, the ones whose number's hash is below ``tie``.
+    And the number of sources."""
+    per_source = cut(targets(sized.groupBy("_skey").agg(F.sum("size").alias("source_size")), share, cap), "mix-sources")
+    n = per_source.count()
+    goal = per_source.withColumn("repeats", F.least(F.floor(F.col("target") / F.greatest("source_size", F.lit(1))), F.lit(cap)).cast("long"))
+    goal = goal.withColumn("_rest", F.col("target") - F.col("repeats") * F.col("source_size"))
+    open_ = goal.where("_rest > 0 and source_size > 0").select("_skey", "_rest", F.lit(0).cast("long").alias("_base"))
+    done, ties = _narrowed(sized.select("_skey", F.col("_h").alias("_x"), "size"), open_, n, False)
+    done = done.withColumn("tie", F.lit(0).cast("long"))
+    if not ties.isEmpty():
+        same = ties.withColumnRenamed("_prefix", "_at")
+        rows = _key_range(sized.select("_skey", "_h", "_row", "size"), same.select("_skey", "_at"), n, "_row").where("_h = _at").select("_skey", row_bits().alias("_x"), "size")
+        among, _ = _narrowed(rows, same.drop("_at"), n, True)
+        done = done.unionByName(among.withColumnRenamed("threshold", "tie").join(same.select("_skey", F.col("_at").alias("threshold")), "_skey"))
+    plan = goal.drop("_rest").join(done, "_skey", "left").na.fill(0, ["threshold", "tie"])
     return cut(plan, "mix-plan"), n
 
 
-def sized_rows(docs: DataFrame, seed: str) -> DataFrame:
-    return docs.select(F.col("doc_id"), source_key(F.col("source")).alias("_skey"), hash_of(F.col("doc_id"), F.col("text"), seed).alias("_h"), size_of(F.col("text")).alias("size"))
+def row_bits() -> Column:
+    return F.shiftrightunsigned(F.xxhash64("_row"), 64 - BITS)
+
+
+def sized_rows(docs: DataFrame, seed: str, *more: Column) -> DataFrame:
+    """Written table: ``more``, source key, hash, row number and size of each document."""
+    keys = [source_key(F.col("source")).alias("_skey"), hash_of(F.col("doc_id"), F.col("text"), seed).alias("_h"), F.monotonically_increasing_id().alias("_row"), size_of(F.col("text")).alias("size")]
+    return cut(docs.select(*more, *keys), "mix-sized")
+
+
+def _times() -> Column:
+    once_more = (F.col("_h") < F.col("threshold")) | ((F.col("_h") == F.col("threshold")) & (row_bits() < F.col("tie")))
+    return F.col("repeats") + once_more.cast("long")
 
 
 def mix_report(docs: DataFrame, seed: str = "mix", share: float = 1.0, cap: int = 3) -> DataFrame:
@@ -114,27 +142,25 @@ def mix_report(docs: DataFrame, seed: str = "mix", share: float = 1.0, cap: int
     taken is size times the number of times the mix takes the document. Null
     and empty texts have size 0 and are taken 0 words; a null source is a source
     of its own, ranked last; a null id is hashed by its text; rows equal in id
-    and text share a hash and are taken together; an empty table gives no rows.
-    A source's taken words differ from its target by half its boundary
-    document at most."""
-    sized = cut(sized_rows(docs, seed), "mix-sized")
+    and text share a hash, and as many of them are taken as the budget asks for; an
+    empty table gives no rows. A source's taken words differ from its target by
+    half its boundary document at most."""
+    sized = sized_rows(docs, seed, F.col("doc_id"))
     plan, n = plan_mix(sized, share, cap)
     out = _key_range(sized, plan, n)
-    taken = F.col("size") * (F.col("repeats") + (F.col("_h") < F.col("threshold")).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = "mix", share: float = 1.0, cap: int = 3) -> DataFrame:
     """The mixed table: rows of ``docs``, each as often as the mix takes it,
     with the columns of ``docs`` only. Documents without words count nothing
-    towards any budget and stay once."""
-    sized = cut(sized_rows(docs, seed).drop("doc_id"), "mix-sized")
-    plan, n = plan_mix(sized, share, cap)
-    rows = docs.withColumns({"_skey": source_key(F.col("source")), "_h": hash_of(F.col("doc_id"), F.col("text"), seed), "_size": size_of(F.col("text"))})
-    out = _key_range(rows, plan.select("_skey", "repeats", F.col("threshold").alias("_threshold")).withColumnRenamed("repeats", "_repeats"), n)
-    times = F.when(F.col("_size") == 0, 1).otherwise(F.col("_repeats") + (F.col("_h") < F.col("_threshold")).cast("long")).cast("int")
-    out = out.withColumn("_i", F.explode(F.array_repeat(F.lit(0), times)))
-    return out.select(*docs.columns)
+    towards any budget and stay once; nulls, repeated rows and an empty table as
+    in mix_report()."""
+    sized = sized_rows(docs, seed, whole_row(docs).alias("_doc"))
+    plan, n = plan_mix(sized.drop("_doc"), share, cap)
+    out = _key_range(sized, plan.drop("source_size", "target"), n)
+    times = F.when(F.col("size") == 0, 1).otherwise(_times()).cast("int")
+    return out.select("_doc", F.explode(F.array_repeat(F.lit(0), times))).select("_doc.*")
 
 
 def op1_source_mix(spark, sf_dir: str) -> DataFrame:
@@ -157,9 +183,8 @@ lv AS (SELECT (total - capped) AS l, w_left AS wl FROM r WHERE (total - capped)
 t AS (SELECT r.k, source_size, w, least((source_size * 3)::DOUBLE, coalesce(l * w / wl, (source_size * 3)::DOUBLE)) AS target FROM r LEFT JOIN lv ON true),
 g AS (SELECT *, least(floor(target / greatest(source_size, 1)), 3)::BIGINT AS reps FROM t),
 c AS (SELECT d.*, source_size, target, reps, target - reps * source_size AS rest,
-        sum(size) OVER (PARTITION BY d.k ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-        sum(size) OVER (PARTITION BY d.k, h) AS own FROM d JOIN g ON d.k = g.k)
+        sum(size) OVER (PARTITION BY d.k ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM d JOIN g ON d.k = g.k)
 SELECT doc_id, size, source_size, target,
-       (size * (reps + CASE WHEN rest <= 0 THEN 0 WHEN upto <= rest THEN 1 WHEN upto - own <= rest AND rest - (upto - own) > upto - rest THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (reps + CASE WHEN rest <= 0 THEN 0 WHEN upto <= rest THEN 1 WHEN upto - size <= rest AND rest - (upto - size) > upto - rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c
 """
