@@ -41,9 +41,12 @@ def test_topk(spark, monkeypatch, block):
 
 
 def test_topk_edges(spark):
-    df = spark.createDataFrame([(0, [0.5]), (0, [0.5]), (1, [1.0]), (100, [])], "vec_id long, embedding array<float>")
-    assert sorted(map(tuple, topk.search(df).collect())) == [(0, 1, 1, 512 * 1024), (0, 2, 100, 0), (100, 1, 0, 0), (100, 2, 1, 0)]
+    df = spark.createDataFrame([(0, [0.5]), (0, [0.25]), (1, [1.0]), (1, [2.0]), (100, [])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.search(df).collect())) == [(0, 1, 1, 256 * 2048), (0, 2, 1, 256 * 1024), (0, 3, 100, 0), (100, 1, 0, 0), (100, 2, 0, 0), (100, 3, 1, 0), (100, 4, 1, 0)]
     assert topk.search(df.limit(0)).collect() == [] and topk.search(df.where("vec_id = 1")).collect() == []
+    for big in ([(0, [1e19]), (1, [0.0])], [(0, [1e8]), (1, [1e8])]):
+        with pytest.raises(Exception, match="does not fit 64 bits"):
+            topk.search(spark.createDataFrame(big, "vec_id long, embedding array<double>")).collect()
 
 
 def test_suffix_arrays():

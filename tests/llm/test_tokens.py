@@ -102,6 +102,21 @@ def test_files_with_nulls_and_a_hot_id(spark):
     assert token_files.token_files(df.limit(0)).collect() == []
 
 
+def test_ids_that_doubles_cannot_tell_apart(spark, monkeypatch):
+    ids = [10**18 + i for i in range(400)] + [2**63 - 1 - i for i in range(50)] + [-(2**63) + i for i in range(50)]
+    rows = [(i, "a " * (i % 7), "x") for i in ids]
+    random.Random(4).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    for records in (512, 1):
+        monkeypatch.setattr(token_files, "RECORDS", records)
+        monkeypatch.setattr(token_files, "RECORD_IDS", 300)
+        path = new_path(spark, "t")
+        token_files.write_files(df, path, shard_docs=40)
+        got = sorted(token_files.read_files(spark, path).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in got] == sorted(ids)
+        assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
+
+
 def test_counts(spark, library):
     rows = [(i, x, "c") for i, x in enumerate(TEXTS)] + [(None, None, "c"), (3, "twice", "c"), (3, "twice", "c"), (99, "w " * 3000, "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")

@@ -22,20 +22,24 @@ from . import pfor
 from .common import cut, new_path, small_batches
 from .tokens import default_vocabulary, encoder, text_list
 
-#: Documents in a file, about; and token ids in a record.
+#: Documents in a range, about; and token ids in a record.
 SHARD_DOCS, RECORD_IDS = 8192, 1 << 18
-SHARDS = 100_000
+#: Most ranges, whose bounds every task holds; beyond, ranges grow and are written as several files of
+#: RECORDS records, so no file nears the 2 GB that can be read at once.
+SHARDS, RECORDS = 100_000, 512
 
 
 def shard_bounds(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> tuple[np.ndarray, int]:
-    """doc_ids that part the table into equal ranges, ascending, and the number
-    of files that null ids take, which come last. An id that fills several
-    ranges repeats in the bounds."""
+    """doc_ids that part the table into about equal ranges, ascending, and the number
+    of ranges that null ids take, which come last. An id that fills several
+    ranges repeats in the bounds. Only the choice of bounds is approximate: ids are
+    compared with them as 64-bit integers."""
     n, nulls = docs.agg(F.count("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
     shards = min(SHARDS, max(1, ceil(n / shard_docs)))
     steps = [i / shards for i in range(1, shards)]
     bounds = docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", steps, 0.1 / shards) if n and steps else []
-    return np.array(sorted(bounds), np.float64), ceil(nulls / shard_docs)
+    # doubles may lie above the largest long
+    return np.array(sorted(max(-(2**63), min(2**63 - 1, int(x))) for x in bounds), np.int64), ceil(nulls / shard_docs)
 
 
 def _records(batches, dtype):
@@ -77,16 +81,15 @@ def write_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
         enc = encoder(vocab)
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
-            key = b.column("doc_id")
-            x = np.array([np.inf if k is None else float(k) for k in key.to_pylist()])
+            key = b.column("doc_id").cast(pa.int64())
+            x, null = key.fill_null(0).to_numpy(), key.is_null().to_numpy(zero_copy_only=False)
             u = b.column("h").to_numpy().view(np.uint64).astype(np.float64) / 2.0**64
             lo, hi = np.searchsorted(bounds, x, "left"), np.searchsorted(bounds, x, "right")
-            hi = np.where(np.isinf(x), lo + null_shards, hi)
-            lo = np.where(np.isinf(x), lo + (null_shards > 0), lo)
+            lo, hi = np.where(null, len(bounds) + (null_shards > 0), lo), np.where(null, len(bounds) + null_shards, hi)
             # an id that fills whole ranges is dealt over them in hash order
             shard = np.where(hi > lo, lo + np.minimum((u * (hi - lo + 1)).astype(np.int64), hi - lo), lo)
             ids = [e + end for e in enc.encode(text_list(b.column("text")))]
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int32()), "doc_id": key.cast(pa.int64()), "h": b.column("h"), "ids": pa.array(ids, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int32()), "doc_id": key, "h": b.column("h"), "ids": pa.array(ids, pa.binary())})
 
     dtype = encoder(vocab).dtype
     rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "shard int, doc_id long, h long, ids binary")
@@ -95,7 +98,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     n = len(bounds) + 1 + null_shards
     rows = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_last("doc_id"), order)
     packed = rows.mapInArrow(lambda batches: _records(batches, dtype), "record binary")
-    packed.select(F.col("record").cast("string").alias("value")).write.text(path)
+    packed.select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", RECORDS).text(path)
 
 
 def read_records(content: bytes):
@@ -120,18 +123,20 @@ def read_files(spark, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for file, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                shard, total = int(file.rsplit("/part-", 1)[1].split("-")[0]), 0
+                # part-<task>-...-c<number of the task's file>.<...>
+                part, tail = file.rsplit("/part-", 1)[1].split("-", 1)
+                shard, total = int(part) << 32 | int(tail.rsplit("-c", 1)[1].split(".")[0]), 0
                 for doc, lengths, ids in read_records(content):
                     raw = memoryview(ids.astype("<u4").tobytes())
                     ends = np.cumsum(lengths, dtype=np.int64)
                     starts = ends - lengths
                     crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts, ends)]
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(doc), shard), pa.int32()), "doc_id": pa.array(doc, pa.int64()), "at": pa.array(starts + total, pa.int64()), "n_tokens": pa.array(lengths.astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(doc), shard), pa.int64()), "doc_id": pa.array(doc, pa.int64()), "at": pa.array(starts + total, pa.int64()), "n_tokens": pa.array(lengths.astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())})
                     total += int(ends[-1]) if len(ends) else 0
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    rows = cut(files.mapInArrow(run, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-rows")
-    # one row per file meets in one task, SHARDS of them and those of null ids at most
+    rows = cut(files.mapInArrow(run, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-rows")
+    # one row per file meets in one task: those of SHARDS ranges and of null ids, and one for each RECORDS * RECORD_IDS ids
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     offsets = sums.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -27,9 +27,10 @@ SCHEMA = "query_id long, rank int, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """(vec_id, q): floor(SCALE * x) of each component as little-endian longs,
-    without rows whose id or vector is null or holds a null or non-finite
-    component. Rows of one id count once: the least vector in byte order."""
+    """(vec_id, q, o): floor(SCALE * x) of each component as little-endian longs,
+    and the same bytes such that they sort like the numbers; without rows whose id or
+    vector is null or holds a null or non-finite component. A component that no
+    long can hold is an error."""
 
     def run(batches):
         for b in batches:
@@ -38,14 +39,18 @@ def quantised(vectors: DataFrame) -> DataFrame:
             flat = lists.flatten()
             x = np.floor(SCALE * flat.to_numpy(zero_copy_only=False).astype(np.float64)) if len(flat) else np.zeros(0)
             ends = np.cumsum(lengths)
-            bad = np.concatenate([[0], np.cumsum(~np.isfinite(x) | (np.abs(x) >= 2.0**62))])
+            finite = np.isfinite(x)
+            bad = np.concatenate([[0], np.cumsum(~finite)])
             good = bad[ends] == bad[ends - lengths]
-            q = np.where(np.isfinite(x), x, 0).clip(-(2.0**62), 2.0**62).astype("<i8")
-            rows = [q[e - n : e].tobytes() if g else None for e, n, g in zip(ends, lengths, good)]
-            yield pa.RecordBatch.from_pydict({"vec_id": b.column("vec_id"), "q": pa.array(rows, pa.binary())})
+            if (np.abs(x[finite & np.repeat(good, lengths)]) >= 2.0**62).any():
+                raise OverflowError("a component does not fit 64 bits")
+            q = np.where(finite, x, 0).clip(-(2.0**62), 2.0**62).astype("<i8")
+            sortable = (q.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8")
+            both = [pa.array([x[e - n : e].tobytes() if g else None for e, n, g in zip(ends, lengths, good)], pa.binary()) for x in (q, sortable)]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), *both], names=["vec_id", "q", "o"])
 
     some = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    return some.mapInArrow(run, "vec_id long, q binary").where("q is not null").groupBy("vec_id").agg(F.min("q").alias("q"))
+    return some.mapInArrow(run, "vec_id long, q binary, o binary").where("q is not null")
 
 
 def _matrix(rows: list[bytes], dims: int) -> np.ndarray:
@@ -69,12 +74,17 @@ def _scored(batches, ids: np.ndarray, queries: np.ndarray):
                 scores = (m.astype(np.float64) @ real).astype(np.int64)
             else:
                 scores = m @ queries.T
+                size = np.abs(m).astype(np.float64) @ np.abs(real)
+                if (size[vec[:, None] != ids[None, :]] >= MOST).any():
+                    raise OverflowError("a score does not fit 64 bits")
             scores[vec[:, None] == ids[None, :]] = OWN
             yield vec, scores
 
 
 #: Stands for the score of a query with itself, below all others.
 OWN = -(2**63)
+#: No score reaches it; a larger one is an error.
+MOST = 2**61
 
 
 def _histogram(rows: DataFrame, block, low: np.ndarray, high: np.ndarray, width: np.ndarray) -> DataFrame:
@@ -124,11 +134,14 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
 
     Vectors that are null or hold null or non-finite components take no part,
     nor do null ids; shorter vectors count as filled up with zeros, empty ones
-    score 0; repeated rows of one id count once; an empty table gives no rows."""
+    score 0. Each row of a repeated id is a candidate; as a query the id counts once,
+    with the least of its vectors, and none of its rows is a candidate of its own. An
+    empty table gives no rows."""
     spark = vectors.sparkSession
     on_workers(spark)
     rows = cut(quantised(vectors), "vectors")
-    chosen = rows.where(F.col("vec_id") % every == 0)
+    chosen = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("o", "q")).alias("m")).select("vec_id", F.col("m.q").alias("q"))
+    rows = rows.drop("o")
     dims, n = rows.agg(F.max(F.octet_length("q"))).first()[0], chosen.count()
     if not n:
         return spark.createDataFrame([], SCHEMA)
@@ -148,7 +161,7 @@ def _kth(rows: DataFrame, block, ids: np.ndarray, queries: np.ndarray, k: int) -
     """Each query's k-th highest score; the lowest possible one if there are fewer scores."""
     most = _largest(rows)
     reach = [sum(abs(int(x)) for x in q) * most + 1 for q in queries]
-    low = np.array([-min(r, 2**61) for r in reach], np.int64)
+    low = np.array([-min(r, MOST) for r in reach], np.int64)
     high = -low
     width = -(-(high - low) // BINS)
     need = np.full(len(ids), k, np.int64)
@@ -194,8 +207,9 @@ OP5_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, min(q) AS q FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
-      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+      FROM u a JOIN v b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
