@@ -252,7 +252,8 @@ def _near(n: str, m: str) -> Column:
 
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """Of pairs (u, v), those that are alike."""
-    full = pairs.join(words.select(F.col("row").alias("u"), F.col("words").alias("a")), "u").join(words.select(F.col("row").alias("v"), F.col("words").alias("b")), "v")
+    own = lambda name, to: words.select(F.col("row").alias(name), F.col("words").alias(to)).hint("merge")
+    full = pairs.join(own("u", "a"), "u").join(own("v", "b"), "v")
 
     def run(batches):
         for b in batches:
@@ -286,8 +287,8 @@ def _cells(open_: DataFrame) -> DataFrame:
     return rows.select("key", "row", "label", "n", F.explode(cells).alias("cell")).select("key", "row", "label", "n", "cell.*")
 
 
-def _compared(jk: int, row, label, n, side, keys, raws) -> list[tuple[int, int]]:
-    """Links between texts of different labels and sides of a cell whose key is the jk-th of their keys."""
+def _compared(jk: int, label, n, side, keys, raws) -> list[tuple[int, int]]:
+    """Links between labels of texts that differ in label and in side, in a cell whose key is the jk-th of their keys."""
     texts = [Text(x) for x in raws]
     counts = None
     if len(texts) > 8:
@@ -314,16 +315,16 @@ def _compared(jk: int, row, label, n, side, keys, raws) -> list[tuple[int, int]]
         for i in y.tolist():
             p, q = top(int(label[x])), top(int(label[i]))
             if p != q and alike(texts[x], texts[i]):
-                out.append((int(row[x]), int(row[i])))
+                out.append((p, q))
                 up[max(p, q)] = min(p, q)
     return out
 
 
 def _links_of_cells(cells: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (u, v) found in the cells; texts has row, keys and words."""
-    full = cells.join(texts.select("row", "keys", "words"), "row")
+    """Links (u, v) of labels found in the cells; texts has row, keys and words."""
+    full = cells.join(texts.select("row", "keys", "words").hint("merge"), "row")
     place = ["key", "kind", "i", "j"]
-    names = ["row", "label", "n", "side", "keys", "words"]
+    names = ["label", "n", "side", "keys", "words"]
 
     def solve(held):
         t = pa.Table.from_batches(held).combine_chunks()
@@ -331,7 +332,7 @@ def _links_of_cells(cells: DataFrame, texts: DataFrame) -> DataFrame:
             return []
         keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, SKETCHES)
         jk = int(np.flatnonzero(keys[0] == t.column("key")[0].as_py())[0])
-        numbers = [t.column(c).to_numpy() for c in names[:4]]
+        numbers = [t.column(c).to_numpy() for c in names[:3]]
         return _compared(jk, *numbers, keys, t.column("words").to_pylist())
 
     def packed(found):
@@ -360,26 +361,34 @@ def _links_of_cells(cells: DataFrame, texts: DataFrame) -> DataFrame:
     return full.select(*place, *names).repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "u long, v long")
 
 
-def links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (u, v) between distinct texts (row, n, keys) of a sketched table."""
+def classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(row, class) of those distinct texts (row, n, keys) of a sketched table that
+    have links; class is the least row of the class.
+
+    Joins with words are merge joins whatever the size, so that a small table is
+    read as a large one is."""
     bands = texts.where("keys is not null").select("row", "n", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(bands.join(shared, "key"), "members")
     weight = cut(members.groupBy("row").agg(F.sum("size").alias("weight")), "weights")
-    words = cut(rows.select("row", "keys", "words").join(weight.select("row"), "row"), "words")
+    words = cut(rows.select("row", "keys", "words").join(weight.select("row").hint("merge"), "row"), "words")
     # leaders: the text of the greatest weight
     lead = members.join(weight, "row").groupBy("key").agg(F.max(F.struct("weight", (-F.col("row")).alias("v"), "n")).alias("top"))
     lead = lead.select("key", (-F.col("top.v")).alias("v"), F.col("top.n").alias("m"))
     pairs = members.join(lead, "key").where((F.col("row") != F.col("v")) & _near("n", "m")).select(F.col("row").alias("u"), "v").distinct()
     found = cut(_verified(pairs, words), "links")
-    label = components(found)
-    members_ = members.join(label.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "n", F.coalesce("label", "row").alias("label"))
-    labelled = cut(members_, "labelled")
+    first = components(found)
+    labelled = cut(members.join(first.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "n", F.coalesce("label", "row").alias("label")), "labelled")
     several = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
     open_ = cut(labelled.join(several, "key"), "open")
     more = cut(_links_of_cells(_cells(open_), words), "links")
-    spent(members, weight, words, labelled, open_, label)
-    return found.unionByName(more)
+    second = components(more)
+    # texts of the first step's classes, and those that only the second one linked
+    by_row = first.select(F.col("node").alias("row"), "label").join(second.select(F.col("node").alias("label"), F.col("label").alias("over")), "label", "left").select("row", F.coalesce("over", "label").alias("class"))
+    alone = second.select(F.col("node").alias("row"), F.col("label").alias("class")).join(first.select(F.col("node").alias("row")), "row", "left_anti")
+    out = cut(by_row.unionByName(alone), "labels")
+    spent(members, weight, words, found, first, labelled, open_, more, second)
+    return out
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
@@ -387,8 +396,8 @@ def classes_of(rows: DataFrame) -> DataFrame:
     empty; class is the row of one text of it."""
     reps = cut(rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("row").alias("row")), "reps")
     texts = cut(rows.select("row", "n", "keys").join(reps.select("row"), "row"), "texts")
-    label = components(links(rows, texts)).withColumnRenamed("node", "row")
-    out = cut(reps.join(label, "row", "left").select("k1", "k2", F.coalesce("label", "row").alias("class")), "classes")
+    label = classes(rows, texts)
+    out = cut(reps.join(label, "row", "left").select("k1", "k2", F.coalesce("class", "row").alias("class")), "classes")
     spent(reps, texts, label)
     return out
 
