@@ -44,6 +44,21 @@ def test_numbered(spark):
     assert [i for i, _ in rows] == list(range(500)) and [v for _, v in rows] == sorted(v for _, v in rows)
 
 
+def test_numbered_loses_nothing_whatever_the_ranges(spark):
+    rows = [(x, "y" * 300) for x in random.Random(2).sample(range(10**6), 20_000)]
+    df = spark.createDataFrame(rows, "v long, at string")
+    sets = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k"}
+    old = {k: spark.conf.get(k) for k in sets}
+    try:
+        for k, v in sets.items():
+            spark.conf.set(k, v)
+        got = sorted((r.row_id, r.v) for r in numbered(df, "v").select("row_id", "v").collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == list(enumerate(sorted(v for v, _ in rows)))
+
+
 def small_corpus(spark, n=300, dims=3, values=6, seed=0):
     rng = random.Random(seed)
     rows = [(i, [rng.randrange(values) for _ in range(dims)], rng.randrange(2)) for i in range(n)]

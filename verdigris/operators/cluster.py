@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..paths import on_workers
+from ..sources.tables import written
 from .distance import matrix_l2sq
+from .rows import numbered
 
 # Defaults of the build, and the generator's multiplier and stand-in for seed 0.
 LISTS, SAMPLE, ITERATIONS, SEED = 256, 200_000, 6, 0xC0FFEE1979BEEF
@@ -81,14 +83,34 @@ def seeds(corpus: DataFrame, k: int, rng: Xorshift, n: int) -> np.ndarray:
     return np.array([found[i] for i in ids], np.int64)
 
 
+def list_sums(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """(list_id, n, sums): rows nearest to each centroid, and their sums by dimension.
+    Each task adds up its own rows; one row a task and list is shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.asarray(centroids))
+    on_workers(rows.sparkSession)
+
+    def run(batches):
+        c = shared.value
+        n, sums = np.zeros(len(c), np.int64), np.zeros(c.shape, np.int64)
+        for b in batches:
+            m = b.column("q").flatten().to_numpy(zero_copy_only=False).reshape(-1, c.shape[1])
+            j = matrix_l2sq(m, c).argmin(axis=1)
+            n += np.bincount(j, minlength=len(c))
+            np.add.at(sums, j, m)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), pa.array(sums[at].tolist(), pa.list_(pa.int64()))], names=["list_id", "n", "sums"])
+
+    part = rows.select("q").mapInArrow(run, "list_id int, n long, sums array<long>")
+    each = part.select("list_id", "n", F.posexplode("sums").alias("i", "s")).groupBy("list_id", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return each.groupBy("list_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "s"))).alias("sums")).select("list_id", "n", F.col("sums.s").alias("sums"))
+
+
 def lloyd_step(sample: DataFrame, centroids: np.ndarray, corpus: DataFrame, rng: Xorshift, n: int) -> np.ndarray:
-    """Integer means, rounded towards zero; empty clusters get the next draws."""
+    """Integer means, rounded towards zero; empty clusters get the next draws. The
+    driver gets one row a list, of which there are MOST_LISTS at most."""
     k, dims = centroids.shape
-    sums = assigned(sample, centroids).groupBy("list_id").agg(F.count("*").alias("n"), *[F.sum(F.get("q", F.lit(i))).alias(f"s{i}") for i in range(dims)]).collect()
     out = np.empty((k, dims), np.int64)
-    full = {}
-    for r in sums:
-        full[r.list_id] = [int(np.sign(s)) * (abs(s) // r.n) for s in (r[f"s{i}"] for i in range(dims))]
+    full = {r.list_id: [int(np.sign(s)) * (abs(s) // r.n) for s in r.sums] for r in list_sums(sample, centroids).collect()}
     drawn = {j: rng.draw() % n for j in range(k) if j not in full}
     found = _rows_at(corpus, list(drawn.values())) if drawn else {}
     for j in range(k):
@@ -130,9 +152,9 @@ def list_stats(members: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def build_index(corpus: DataFrame, centroids: np.ndarray) -> Index:
-    """Groups a corpus (row_id, q, label) by nearest centroid, in row order inside a list."""
-    members = assigned(corpus.select("row_id", "q", "label"), centroids)
-    lists = list_stats(members, centroids)
-    place = Window.partitionBy("list_id").orderBy("row_id")
-    vectors = members.join(F.broadcast(lists.select("list_id", "vec_offset")), "list_id").withColumn("pos", F.col("vec_offset") + F.row_number().over(place) - 1)
-    return Index(centroids, lists, vectors.select("list_id", "pos", "row_id", "q", "label"))
+    """Groups a corpus (row_id, q, label) by nearest centroid, in row order inside a
+    list. A row's place is its number in order of list and row, so a list that holds
+    most rows is sorted by many tasks."""
+    members = assigned(corpus.select("row_id", "q", "label"), centroids).drop("d")
+    vectors = written(numbered(members, "list_id", "row_id", name="pos"), "vectors")
+    return Index(centroids, list_stats(vectors, centroids), vectors.select("list_id", "pos", "row_id", "q", "label"))

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 
-def numbered(df: DataFrame, order: str, name: str = "row_id") -> DataFrame:
-    """Adds 0, 1, 2, ... in order of a unique column: counts by range of the sort,
-    then an offset for each range; only one row a range meets in one task."""
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    local = ranged.withColumn("_at", F.monotonically_increasing_id())
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    counts = local.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return local.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + place).drop("_at", "_part", "_offset")
+
+def numbered(df: DataFrame, *order: str, name: str = "row_id") -> DataFrame:
+    """Adds 0, 1, 2, ... in order of columns that are unique together.
+
+    The rows are dealt by ranges of the sort and written with their place in the
+    range; sizes of the ranges are counted in that table, so both sides of the join
+    agree on what the ranges are. Only one row a range meets in one task."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    local = written(ranged.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), at.alias("at")), "ranges")
+    local = local.select("row", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("place"))
+    counts = local.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return local.join(F.broadcast(offsets), "part").select("row.*", (F.col("offset") + F.col("place")).alias(name))

@@ -11,36 +11,47 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.decide import NEIGHBOURS
 from ..paths import on_workers
+from ..sources.tables import new_folder, written
 from .cluster import Index, nearest
-from .distance import bbox_bound, l2sq, matrix_l2sq
+from .distance import bbox_bound, matrix_l2sq
 
 # Default and greatest number of probed lists.
 PROBES, MOST_PROBES = 12, 24
 #: Queries broadcast at once, and rows scored at once.
 QUERY_BLOCK, ROWS = 4096, 1024
+#: Most vectors and visits of a list that meet in one task, about.
+VECTOR_BLOCK, VISIT_BLOCK = 1 << 16, 1 << 16
+FAR = np.iinfo(np.int64).max
+FOUND = ["query_id", "probe_rank", "row_id", "label", "d"]
 
 
 def exact(corpus: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, exclude_self: bool = True) -> DataFrame:
     """k nearest rows of a corpus (row_id, q, label). Queries go in blocks of bounded
-    size, broadcast to all rows; a task passes on k rows a query at most."""
+    size, broadcast to all rows; a task passes on k rows a query at most. Where there
+    are several blocks, each one's result is written before the next begins."""
     spark = corpus.sparkSession
     on_workers(spark)
-    blocks = ceil(queries.count() / QUERY_BLOCK)
-    out = None
-    for i in range(max(blocks, 1)):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1))) == i).select("query_id", "q").collect()
-        found = _block(corpus, [r[0] for r in own], [r[1] for r in own], k, exclude_self)
-        out = found if out is None else out.unionByName(found)
+    blocks = max(ceil(queries.count() / QUERY_BLOCK), 1)
+    path = new_folder(spark, "neighbours")
     best = Window.partitionBy("query_id").orderBy("d", "row_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "row_id", "label", "d")
-
-
-def _block(corpus: DataFrame, ids: list[int], vectors: list[list[int]], k: int, exclude_self: bool) -> DataFrame:
+    for i in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "q").collect()
+        found, shared = _block(corpus, [r[0] for r in own], [r[1] for r in own], k, exclude_self)
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "row_id", "label", "d")
+        if blocks == 1:
+            return found
+        found.write.mode("append").parquet(path)
+        shared.unpersist()
+    return spark.read.schema(found.schema).parquet(path)
+
+
+def _block(corpus: DataFrame, ids: list[int], vectors: list[list[int]], k: int, exclude_self: bool) -> tuple[DataFrame, Broadcast]:
     shared = corpus.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), np.array(vectors, np.int64)))
     names = ["query_id", "row_id", "label", "d"]
 
@@ -66,7 +77,7 @@ def _block(corpus: DataFrame, ids: list[int], vectors: list[list[int]], k: int,
         which = np.broadcast_to(ids[:, None], d.shape)[keep]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (which, row[keep], label[keep], d[keep])], names=names)
 
-    return corpus.select("row_id", "q", "label").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return corpus.select("row_id", "q", "label").mapInArrow(run, ", ".join(f"{n} long" for n in names)), shared
 
 
 def probe_count(nprobe: int, nlists: int) -> int:
@@ -84,18 +95,56 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "row_id", "label", "d")
 
 
-def _scan(visits: DataFrame, index: Index, exclude_self: bool) -> DataFrame:
+def _dealt(rows: DataFrame, sizes: DataFrame, own: str, other: str, number: str) -> DataFrame:
+    """Rows of a list to blocks of their own side, each copied to all blocks of the other."""
+    out = rows.join(F.broadcast(sizes), "list_id").withColumn(own, F.pmod(F.xxhash64(number), F.col(f"n_{own}")).cast("int"))
+    return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).drop("n_v", "n_u")
+
+
+def _scan(visits: DataFrame, index: Index, exclude_self: bool, k: int) -> DataFrame:
+    """(query_id, probe_rank, row_id, label, d): the k nearest rows, or more, of each
+    visited list. Vectors and visits of a list meet in blocks of bounded size, one
+    matrix product for each pair of blocks, so neither a list nor a list's visits
+    need fit one task, and only k rows a visit and block go on."""
+    on_workers(visits.sparkSession)
+    # one row a list, of which there are MOST_LISTS at most
+    count = visits.groupBy("list_id").agg(F.count("*").alias("n"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(size)), F.lit(1)).cast("int")
+    sizes = index.lists.select("list_id", "vec_count").join(F.broadcast(count), "list_id").select("list_id", blocks(F.col("vec_count"), VECTOR_BLOCK).alias("n_v"), blocks(F.col("n"), VISIT_BLOCK).alias("n_u"))
+    left = _dealt(index.vectors.select("list_id", "row_id", "q", "label"), sizes, "v", "u", "row_id")
+    right = _dealt(visits.select("list_id", "query_id", "q", "probe_rank"), sizes, "u", "v", "query_id")
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])  # the two sides may stem from one table
     dims = index.centroids.shape[1]
-    met = visits.select("query_id", F.col("q").alias("_q"), "probe_rank", "list_id").join(index.vectors.select("list_id", "row_id", "q", "label"), "list_id")
-    if exclude_self:
-        met = met.where(F.col("query_id") != F.col("row_id"))
-    return met.select("query_id", "probe_rank", "row_id", "label", l2sq("_q", "q", dims).alias("d"))
+
+    def matrix(t: pa.Table, q: str) -> np.ndarray:
+        return t.column(q).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+    def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        m, rows, labels = matrix(vectors, "q"), vectors.column("row_id").to_numpy(), vectors.column("label").to_numpy()
+        query, rank, q = asked.column("query_id_").to_numpy(), asked.column("probe_rank_").to_numpy(), matrix(asked, "q_")
+        out = [[np.zeros(0, np.int64)] * 5]
+        order = np.argsort(rows, kind="stable")  # so that a stable sort by distance leaves ties in order of rows
+        m, rows, labels = m[order], rows[order], labels[order]
+        for at in range(0, len(query) if len(rows) else 0, ROWS):
+            part = slice(at, at + ROWS)
+            d = matrix_l2sq(q[part], m)
+            if exclude_self:
+                d[query[part, None] == rows[None, :]] = FAR
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            near = np.take_along_axis(d, best, 1)
+            i, j = np.nonzero(near != FAR)
+            out.append([query[part][i], rank[part][i], rows[best[i, j]], labels[best[i, j]], near[i, j]])
+        cols = [np.concatenate(c).astype(np.int64) for c in zip(*out)]
+        return pa.Table.from_arrays([pa.array(c) for c in cols], names=FOUND)
+
+    place = ["list_id", "u", "v"]
+    return left.groupBy(*place).cogroup(right.groupBy(*[f"{c}_" for c in place])).applyInArrow(run, ", ".join(f"{n} long" for n in FOUND))
 
 
 def ivf(index: Index, queries: DataFrame, nprobe: int = PROBES, early_limit: int = 0, k: int = NEIGHBOURS, exclude_self: bool = True) -> DataFrame:
     """Search of the probed lists. With ``early_limit`` > 0 a query ends after the
     first list by which k rows lie within that distance."""
-    found = _scan(probes(queries, index.centroids, nprobe), index, exclude_self)
+    found = _scan(probes(queries, index.centroids, nprobe), index, exclude_self, k)
     if early_limit > 0:
         near = found.where(F.col("d") <= early_limit).groupBy("query_id", "probe_rank").agg(F.count("*").alias("n"))
         run = near.withColumn("upto", F.sum("n").over(Window.partitionBy("query_id").orderBy("probe_rank")))
@@ -104,17 +153,25 @@ def ivf(index: Index, queries: DataFrame, nprobe: int = PROBES, early_limit: int
     return _top(found, k)
 
 
-def votes(queries: DataFrame, found: DataFrame) -> DataFrame:
-    """(query_id, frauds, worst): labels of the neighbours; a missing one is no fraud."""
-    sums = found.groupBy("query_id").agg(F.sum("label").alias("frauds"), F.max("d").alias("worst"))
-    return queries.select("query_id").join(sums, "query_id", "left").select("query_id", F.coalesce("frauds", F.lit(0)).cast("int").alias("frauds"), "worst")
+def votes(queries: DataFrame, found: DataFrame, counted: bool = False) -> DataFrame:
+    """(query_id, frauds, worst): labels of the neighbours; a missing one is no
+    fraud. If ``counted``, n too, the number of neighbours."""
+    sums = found.groupBy("query_id").agg(F.sum("label").alias("frauds"), F.max("d").alias("worst"), F.count("*").alias("n"))
+    n = [F.coalesce("n", F.lit(0)).alias("n")] if counted else []
+    return queries.select("query_id").join(sums, "query_id", "left").select("query_id", F.coalesce("frauds", F.lit(0)).cast("int").alias("frauds"), "worst", *n)
 
 
-def ivf_repaired(index: Index, queries: DataFrame, nprobe: int = 3, repair: int = 18, low: int = 1, high: int = 4, k: int = NEIGHBOURS, exclude_self: bool = True) -> DataFrame:
+def ivf_repaired(index: Index, queries: DataFrame, nprobe: int = 3, repair: int = 18, low: int = 1, high: int = 4, far_legit: int = 0, far_fraud: int = 0, k: int = NEIGHBOURS, exclude_self: bool = True) -> DataFrame:
     """Own reading of a two-pass search: queries whose first votes lie from ``low`` to
-    ``high`` are searched again with more probes; their second result replaces the first."""
-    first = ivf(index, queries, nprobe, k=k, exclude_self=exclude_self)
-    unsure = votes(queries, first).where(F.col("frauds").between(low, high)).select("query_id")
+    ``high`` are searched again with more probes; their second result replaces the
+    first. With ``far_legit`` and ``far_fraud`` above 0 so are queries without any and
+    with nothing but fraud votes, if their worst neighbour is farther than that, or
+    they have fewer than k neighbours."""
+    first = written(ivf(index, queries, nprobe, k=k, exclude_self=exclude_self), "first-pass")
+    v = votes(queries, first, counted=True)
+    lost = lambda far: F.lit(far > 0) & ((F.col("worst") > far) | (F.col("n") < k))
+    again = F.col("frauds").between(low, high) | ((F.col("frauds") == 0) & lost(far_legit)) | ((F.col("frauds") == k) & lost(far_fraud))
+    unsure = written(v.where(again).select("query_id"), "unsure")
     second = ivf(index, queries.join(unsure, "query_id", "left_semi"), repair, k=k, exclude_self=exclude_self)
     return first.join(unsure, "query_id", "left_anti").unionByName(second)
 
@@ -135,19 +192,31 @@ def boxes(index: Index) -> DataFrame:
 def exact_fallback(index: Index, queries: DataFrame, nprobe: int = 3, k: int = NEIGHBOURS, exclude_self: bool = True) -> DataFrame:
     """Exact search in two phases: the probed lists give a k-th distance; of the
     others only lists whose box may hold something nearer are scanned."""
-    visits = probes(queries, index.centroids, nprobe)
-    first = _top(_scan(visits, index, exclude_self), k)
+    visits = written(probes(queries, index.centroids, nprobe), "visits")
+    first = written(_top(_scan(visits, index, exclude_self, k), k), "first-pass")
     full = first.groupBy("query_id").agg(F.max("d").alias("worst"), F.count("*").alias("n"))
     worst = queries.select("query_id", "q").join(full, "query_id", "left").select("query_id", "q", F.when(F.col("n") >= k, F.col("worst")).alias("worst"))
     # there are at most MOST_LISTS boxes
     near = worst.crossJoin(F.broadcast(boxes(index)))
     near = near.where(F.col("worst").isNull() | (bbox_bound("q", "low", "high") < F.col("worst")))
     rest = near.join(visits.select("query_id", "list_id"), ["query_id", "list_id"], "left_anti").withColumn("probe_rank", F.lit(MOST_PROBES))
-    more = _scan(rest, index, exclude_self)
+    more = _scan(rest, index, exclude_self, k)
     return _top(first.withColumn("probe_rank", F.lit(0)).select("query_id", "probe_rank", "row_id", "label", "d").unionByName(more), k)
 
 
-def pure_buckets(corpus: DataFrame, key, least: int = 15) -> DataFrame:
-    """(bucket, label): buckets of ``least`` rows or more that all carry one label."""
+def pure_buckets(corpus: DataFrame, key, least: int = 15, only: int | None = None) -> DataFrame:
+    """(bucket, label): buckets of ``least`` rows or more that all carry one label, or
+    that all carry the label ``only``."""
     sums = corpus.groupBy(key.alias("bucket")).agg(F.count("*").alias("n"), F.min("label").alias("label"), F.max("label").alias("other"))
-    return sums.where((F.col("n") >= least) & (F.col("label") == F.col("other"))).select("bucket", "label")
+    pure = sums.where((F.col("n") >= least) & (F.col("label") == F.col("other"))).select("bucket", "label")
+    return pure if only is None else pure.where(F.col("label") == only)
+
+
+def shortcut_votes(corpus: DataFrame, index: Index, queries: DataFrame, key, least: int = 1, nprobe: int = PROBES, k: int = NEIGHBOURS) -> DataFrame:
+    """(query_id, frauds): queries whose bucket holds nothing but fraud get all votes
+    and are not searched; the others are."""
+    pure = written(pure_buckets(corpus, key, least, only=1), "pure")
+    keyed = queries.withColumn("bucket", key)
+    short = keyed.join(pure, "bucket", "left_semi").select("query_id", F.lit(k).alias("frauds"))
+    rest = keyed.join(pure, "bucket", "left_anti").select("query_id", "q")
+    return short.unionByName(votes(rest, ivf(index, rest, nprobe, k=k)).select("query_id", "frauds"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +13,7 @@ from ..operators.cluster import Xorshift
 from ..operators.distance import bbox_bound, l2sq
 from ..operators.rows import numbered
 from ..sources import index_files
+from ..sources.tables import new_folder, written
 from ..streaming.scoring import score_stream, scored
 from .scalar_queries import q_sql, read
 
@@ -32,11 +31,27 @@ def query(sql: str | None = None):
     return add
 
 
+_kept: dict[tuple, object] = {}
+
+
+def once(f):
+    """What a query reads of a folder's corpus is written once in a session."""
+
+    def kept(spark, sf_dir: str):
+        key = (spark.sparkContext.applicationId, f.__name__, sf_dir)
+        if key not in _kept:
+            _kept[key] = f(spark, sf_dir)
+        return _kept[key]
+
+    return kept
+
+
+@once
 def corpus(spark, sf_dir: str) -> DataFrame:
     """(row_id, q, label): row_id counts from 0 in order of vec_id."""
     e = numbered(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").alias("l")), "vec_id")
     q = F.transform("embedding", lambda x: quantize(((x + f32(1)) / f32(2)).cast("float")))
-    return e.select("row_id", q.alias("q"), F.when(F.col("l") >= 5, 1).otherwise(0).alias("label"))
+    return written(e.select("row_id", q.alias("q"), F.when(F.col("l") >= 5, 1).otherwise(0).alias("label")), "corpus")
 
 
 def queries_of(rows: DataFrame) -> DataFrame:
@@ -84,9 +99,17 @@ def _votes(found: str) -> str:
 
 
 
+@once
+def centroids(spark, sf_dir: str) -> np.ndarray:
+    return cluster.train(corpus(spark, sf_dir), LISTS)
+
+
+@once
 def index(spark, sf_dir: str) -> cluster.Index:
-    rows = corpus(spark, sf_dir)
-    return cluster.build_index(rows, cluster.train(rows, LISTS))
+    """Built, written and opened."""
+    path = new_folder(spark, "index")
+    index_files.write_index(cluster.build_index(corpus(spark, sf_dir), centroids(spark, sf_dir)), path)
+    return index_files.open_index(spark, path)
 
 
 @query(f"WITH {E} SELECT a.row_id, {_dist('a.q', 'b.q')} AS d FROM e a JOIN e b ON b.row_id = a.row_id + 1")
@@ -146,7 +169,7 @@ def kmeans_one_iter(spark, sf_dir):
 
 @query(f"WITH {_lloyd(6)} SELECT j, generate_subscripts(c, 1) AS p, unnest(c) AS x FROM c6")
 def kmeans_lloyd6(spark, sf_dir):
-    return _centroid_rows(spark, cluster.train(corpus(spark, sf_dir), LISTS))
+    return _centroid_rows(spark, centroids(spark, sf_dir))
 
 
 @query(f"WITH {C0}, {_assign(0, 'c0')} SELECT row_id, j AS list_id, d FROM a0")
@@ -176,7 +199,7 @@ def list_layout(spark, sf_dir):
 @query(f"WITH {PROBED} SELECT query_id, CAST(r AS INTEGER) AS probe_rank, j AS list_id, d FROM p WHERE r < {PROBES}")
 def rank_probes(spark, sf_dir):
     e = corpus(spark, sf_dir)
-    return search.probes(queries_of(e), cluster.train(e, LISTS), PROBES).drop("q")
+    return search.probes(queries_of(e), centroids(spark, sf_dir), PROBES).drop("q")
 
 
 def _searched(spark, sf_dir, f) -> DataFrame:
@@ -225,16 +248,9 @@ def ivf_recall_vs_exact(spark, sf_dir):
     return true.join(got, ["query_id", "row_id"], "left").agg(F.count("*").alias("neighbours"), F.count("hit").alias("hit"))
 
 
-def _folder(spark) -> str:
-    from uuid import uuid4
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verdigris-")
-    return f"{base.rstrip('/')}/verdigris-{uuid4().hex[:12]}"
-
-
 @query(SQL["list_layout"])
 def index_roundtrip(spark, sf_dir):
-    path = _folder(spark)
+    path = new_folder(spark, "index")
     index_files.write_index(index(spark, sf_dir), path)
     return index_files.open_index(spark, path).vectors.select("list_id", "pos", "row_id", "label")
 
@@ -257,7 +273,7 @@ def batch_score(spark, sf_dir):
 @query(_stream_sql)
 def stream_score(spark, sf_dir):
     """The same through a stream of files; each batch overwrites its own folder, so a repeated one counts once."""
-    path = _folder(spark)
+    path = new_folder(spark, "stream")
     queries_of(corpus(spark, sf_dir)).write.parquet(f"{path}/in")
     i = index(spark, sf_dir)
     stream = spark.readStream.schema("query_id long, q array<int>").option("maxFilesPerTrigger", 64).parquet(f"{path}/in")

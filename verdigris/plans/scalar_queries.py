@@ -177,5 +177,5 @@ def http_classify(spark, sf_dir):
 def round_robin_assign(spark, sf_dir):
     from ..operators.rows import numbered
 
-    e = numbered(read(spark, sf_dir, "events").select("event_id"), "event_id", "number")
+    e = numbered(read(spark, sf_dir, "events").select("event_id"), "event_id", name="number")
     return e.groupBy(http.upstream(F.col("number"), 2).alias("upstream")).agg(F.count("*").alias("n"))

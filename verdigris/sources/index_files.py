@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import struct
+import time
+import uuid
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -14,6 +16,7 @@ from ..operators.cluster import Index
 MAGIC, VERSION, HEADER, SLOT, LANES, ALIGN = b"RNH4", 1, 64, 64, 16, 32
 POLYNOMIAL = 0x82F63B78
 _HEAD = struct.Struct("<4sIIIQQQQI12x")
+META = "folder string, written long, magic string, version int, nlists long, nvectors long, header_crc32c long"
 
 
 class IndexFormatError(ValueError):
@@ -81,23 +84,28 @@ def unpack(data: bytes, dims: int = 14):
 
 
 def write_index(index: Index, path: str) -> None:
-    """Tables lists, vectors (partitioned by list) and meta below ``path``."""
-    n = index.vectors.count()
+    """Tables lists and vectors (by list_id) in a folder of their own below ``path``,
+    then a row of the table meta that names it. A reader takes the last row, so it
+    sees the index before or the one after, whatever breaks off."""
+    spark = index.lists.sparkSession
+    version = uuid.uuid4().hex[:12]
     k = len(index.centroids)
-    index.lists.write.mode("overwrite").parquet(f"{path}/lists")
-    index.vectors.repartition("list_id").sortWithinPartitions("list_id", "row_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/vectors")
-    meta = [(MAGIC.decode(), VERSION, k, n, crc32c(header(k, n)[:48] + b"\0" * 16))]
-    index.lists.sparkSession.createDataFrame(meta, "magic string, version int, nlists long, nvectors long, header_crc32c long").write.mode("overwrite").parquet(f"{path}/meta")
+    index.lists.write.parquet(f"{path}/{version}/lists")
+    # by ranges of list and row, so that a list of most vectors is written by many tasks
+    index.vectors.repartitionByRange("list_id", "row_id").sortWithinPartitions("list_id", "row_id").write.partitionBy("list_id").parquet(f"{path}/{version}/vectors")
+    n = index.vectors.count()
+    meta = [(version, time.time_ns(), MAGIC.decode(), VERSION, k, n, crc32c(header(k, n)[:48] + b"\0" * 16))]
+    spark.createDataFrame(meta, META).coalesce(1).write.mode("append").parquet(f"{path}/meta")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     """Reads the tables back and checks them against meta."""
-    meta = spark.read.parquet(f"{path}/meta").first()
-    lists, vectors = spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/vectors")
+    meta = spark.read.schema(META).parquet(f"{path}/meta").orderBy(F.desc("written")).first()
     if meta is None or meta.magic != MAGIC.decode():
         raise IndexFormatError("magic")
     if meta.version != VERSION:
         raise IndexFormatError("version")
+    lists, vectors = spark.read.parquet(f"{path}/{meta.folder}/lists"), spark.read.parquet(f"{path}/{meta.folder}/vectors")
     rows = lists.orderBy("list_id").collect()
     if len(rows) != meta.nlists:
         raise IndexFormatError("size")
@@ -108,3 +116,20 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return Index(np.array([r.centroid for r in rows], np.int64), lists, vectors.select(F.col("list_id").cast("int"), "pos", "row_id", "q", "label"))
 
 
+def write_packed(index: Index, path: str) -> None:
+    """The packed format as one row of the table ``path``, on any file system that
+    Spark writes to. For indexes that fit the driver, to be served outside Spark."""
+    spark = index.lists.sparkSession
+    lists, rows = index.lists.orderBy("list_id").collect(), index.vectors.orderBy("pos").collect()
+    data = pack(index.centroids, [r.vec_offset for r in lists], [r.vec_count for r in lists], [r.fraud_count for r in lists], np.array([r.q for r in rows], np.int64).reshape(len(rows), -1), [r.label for r in rows])
+    spark.createDataFrame([(data,)], "packed binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_packed(spark: SparkSession, path: str, dims: int = 14) -> Index:
+    """The index of a packed table, after the checks; rows are numbered by place."""
+    row = spark.read.schema("packed binary").parquet(path).first()
+    centroids, offsets, counts, frauds, vectors, labels = unpack(bytes(row[0]) if row else b"", dims)
+    lists = [(j, [int(x) for x in c], int(o), int(n), int(f)) for j, (c, o, n, f) in enumerate(zip(centroids, offsets, counts, frauds))]
+    owner = np.repeat(np.arange(len(counts)), counts)
+    rows = [(int(j), i, i, [int(x) for x in v], int(y)) for i, (j, v, y) in enumerate(zip(owner, vectors, labels))]
+    return Index(np.array(centroids, np.int64), spark.createDataFrame(lists, "list_id int, centroid array<int>, vec_offset long, vec_count long, fraud_count long"), spark.createDataFrame(rows, "list_id int, pos long, row_id long, q array<int>, label int"))
