@@ -104,7 +104,38 @@ def test_http_edges(spark):
     c = http.classify(F.col("raw"))
     rows = df.select("i", *[v.alias(k) for k, v in c.items()]).orderBy("i").collect()
     assert [r.status for r in rows] == ["NEED_MORE", "READY", "NEED_MORE", "FRAUD", "FRAUD", "BAD", "NEED_MORE", "BAD", "BAD"]
-    assert rows[3].body == "ab" and rows[3].keep_alive and not rows[4].keep_alive and rows[4].body_len == 0
+    assert bytes(rows[3].body) == b"ab" and rows[3].keep_alive and not rows[4].keep_alive and rows[4].body_len == 0
+
+
+def test_http_counts_bytes(spark):
+    raws = ["POST /fraud-score HTTP/1.1\r\nContent-Length: 2\r\n\r\né", "POST /fraud-score HTTP/1.1\r\nX: é\r\nContent-Length: 3\r\n\r\né!", "é" * 128, "é" * 129, None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
+    c = http.classify(F.col("raw"))
+    rows = df.select("i", *[v.alias(k) for k, v in c.items()]).orderBy("i").collect()
+    assert [r.status for r in rows] == ["FRAUD", "FRAUD", "NEED_MORE", "BAD", "NEED_MORE"]
+    assert [bytes(r.body).decode() for r in rows[:2]] == ["é", "é!"] and rows[0].total == len(raws[0].encode())
+
+
+def test_pipelined(spark):
+    post = "POST /fraud-score HTTP/1.1\r\nContent-Length: 1\r\n\r\na"
+    ready, close = "GET /ready HTTP/1.1\r\n\r\n", "GET /ready HTTP/1.1\r\nConnection: close\r\n\r\n"
+    raws = [post + ready + post, close + post, post + post[:-1], ready * 5, "", None, "x" * 300 + ready]
+    df = spark.createDataFrame([(i, r, "k") for i, r in enumerate(raws)], "i int, raw string, status string")
+    got = {}
+    for r in http.split_buffers(df.drop("status"), most=4).orderBy("i", "number").collect():
+        got.setdefault(r.i, []).append(r.status)
+    assert got == {0: ["FRAUD", "READY", "FRAUD"], 1: ["READY"], 2: ["FRAUD", "NEED_MORE"], 3: ["READY"] * 4 + ["OVERFULL"], 4: ["NEED_MORE"], 5: ["NEED_MORE"], 6: ["BAD"]}
+
+
+def test_answers(spark):
+    from verdigris.functions.decide import BAD_RESPONSE, ready_response, response
+
+    row = spark.range(1).select(response(F.lit(2), F.lit(False)).alias("a"), response(F.lit(3), F.lit(True)).alias("b"), ready_response(F.lit(True)).alias("c"), ready_response(F.lit(False)).alias("d")).first()
+    json_head = "HTTP/1.1 200 OK\r\nContent-Type: application/json\r\nContent-Length: "
+    assert row.a == json_head + '35\r\nConnection: close\r\n\r\n{"approved":true,"fraud_score":0.4}'
+    assert row.b == json_head + '36\r\n\r\n{"approved":false,"fraud_score":0.6}'
+    assert row.c == "HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nContent-Length: 2\r\n\r\nok" and "close\r\n\r\nok" in row.d
+    assert BAD_RESPONSE.startswith("HTTP/1.1 400 Bad Request\r\n") and BAD_RESPONSE.endswith("\r\n\r\n")
 
 
 def test_bodies(spark):

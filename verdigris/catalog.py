@@ -7,7 +7,7 @@ more stands for fraud.
 
 from __future__ import annotations
 
-from .plans import index_queries, scalar_queries
+from .plans import index_queries, request_queries, scalar_queries
 
-QUERIES = scalar_queries.QUERIES | index_queries.QUERIES
-SQL = scalar_queries.SQL | index_queries.SQL
+QUERIES = scalar_queries.QUERIES | index_queries.QUERIES | request_queries.QUERIES
+SQL = scalar_queries.SQL | index_queries.SQL | request_queries.SQL

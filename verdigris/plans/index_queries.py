@@ -38,7 +38,7 @@ def once(f):
     """What a query reads of a folder's corpus is written once in a session."""
 
     def kept(spark, sf_dir: str):
-        key = (spark.sparkContext.applicationId, f.__name__, sf_dir)
+        key = (spark.sparkContext.applicationId, f.__module__, f.__name__, sf_dir)
         if key not in _kept:
             _kept[key] = f(spark, sf_dir)
         return _kept[key]

@@ -125,7 +125,7 @@ _fields = f"""SELECT event_id, event_id % 11 <> 0 AND event_id % 17 <> 0 AS vali
   (event_id % 13)::FLOAT AS installments, CAST(user_id % 50 * 10 AS FLOAT) AS cavg, (event_id % 25)::FLOAT AS txs, CAST(event_id % 100 * 1.5 AS FLOAT) AS mavg,
   CAST(event_id % 1200 AS FLOAT) AS km, CASE WHEN event_id % 3 = 0 THEN 0::FLOAT ELSE CAST(user_id % 1000 * 1.25 AS FLOAT) END AS km_last,
   hour(ts) AS h, isodow(ts) - 1 AS wd, event_id % 3 <> 0 AND event_id % 10 <> 4 AS has_last, (event_id % 2000)::FLOAT AS mins, event_type IN ('view', 'click') AS online,
-  event_id % 2 = 0 AS card, event_id % 7 <> 0 AND event_id % 7 <> user_id % 7 AS unknown, {_risk_sql} AS risk, {_mcc_sql} AS mcc FROM events"""
+  event_id % 2 = 0 AS card, event_id % 7 <> 0 AND event_id % 7 <> user_id % 7 AS unknown, {_risk_sql} AS risk, {_mcc_sql} AS mcc, event_type FROM events"""
 
 
 @query(f"""WITH f AS ({_fields}) SELECT event_id, valid, CAST(floor(amount::DOUBLE * 100) AS BIGINT) AS cents, has_last, CASE WHEN has_last THEN mins::BIGINT END AS minutes, unknown, mcc FROM f""")
@@ -150,8 +150,8 @@ def feature_vector14(spark, sf_dir):
 def raw_requests(spark, sf_dir) -> DataFrame:
     """(event_id, raw): requests of six kinds."""
     i = F.col("event_id")
-    body = F.repeat(F.lit("x"), (i % 50).cast("int"))
-    n = F.length(body).cast("string")
+    body = F.concat(F.when(i % 5 == 0, F.lit("é")).otherwise(F.lit("")), F.repeat(F.lit("x"), (i % 50).cast("int")))
+    n = F.octet_length(body).cast("string")
     kinds = [
         F.lit("GET /readXYZ HTTP/1.1\r\nHost: a\r\n\r\n"),
         F.concat(F.lit("POST /fraud-score HTTP/1.1\r\nContent-Length: "), n, F.lit("\r\n\r\n"), body),
@@ -167,7 +167,7 @@ def raw_requests(spark, sf_dir) -> DataFrame:
 
 
 @query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'READY' WHEN 1 THEN 'FRAUD' WHEN 2 THEN 'FRAUD' WHEN 3 THEN 'BAD' WHEN 4 THEN CASE WHEN event_id % 600 + 5 > 256 THEN 'BAD' ELSE 'NEED_MORE' END ELSE 'NEED_MORE' END AS status,
-CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false END AS keep_alive, CASE WHEN event_id % 6 IN (1, 2) THEN event_id % 50 END AS body_len FROM events""")
+CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false END AS keep_alive, CASE WHEN event_id % 6 IN (1, 2) THEN event_id % 50 + CASE WHEN event_id % 5 = 0 THEN 2 ELSE 0 END END AS body_len FROM events""")
 def http_classify(spark, sf_dir):
     c = http.classify(F.col("raw"))
     return raw_requests(spark, sf_dir).select("event_id", c["status"].alias("status"), c["keep_alive"].alias("keep_alive"), c["body_len"].alias("body_len"))
