@@ -18,7 +18,7 @@ import numpy as np
 WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words of more characters are encoded each time they occur.
 LONG = 60
-#: Words kept by a worker, some times over; the less recent half goes when a dict of them is full.
+#: Words kept by a worker, up to four times over, some 200 bytes each; the less recent half goes when a dict of them is full.
 KEPT = 120_000
 
 
@@ -110,7 +110,7 @@ class Encoder:
         """The ids of each text, as bytes of ``dtype``."""
         if not self.by_word:
             return [np.array(x, self.dtype).tobytes() for x in self.lists(texts)]
-        if len(self.words) > 4 * KEPT:
+        if len(self.words) > 2 * KEPT:
             self.words = Lookup(self._make, dict(self.words))
         known = self.words.__getitem__
         return [b"".join(map(known, s)) for s in split_words(map(folded, texts))]
