@@ -32,3 +32,16 @@ def matrix_l2sq(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
     a, b = rows.astype(np.float64), others.astype(np.float64)
     d = (a * a).sum(1)[:, None] - 2 * (a @ b.T) + (b * b).sum(1)[None, :]
     return d.astype(np.int64)
+
+
+def least_k(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k least values of each row, by row, then value, ties to
+    the column on the left. Only what reaches the k-th value is sorted."""
+    if d.shape[1] > k:
+        i, j = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1, None])
+    else:
+        i, j = np.divmod(np.arange(d.size), max(d.shape[1], 1))
+    order = np.lexsort((j, d[i, j], i))
+    i, j = i[order], j[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], j[keep]

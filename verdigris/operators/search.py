@@ -19,7 +19,7 @@ from ..functions.decide import NEIGHBOURS
 from ..paths import on_workers
 from ..sources.tables import new_folder, written
 from .cluster import Index, nearest
-from .distance import bbox_bound, matrix_l2sq
+from .distance import bbox_bound, least_k, matrix_l2sq
 
 # Default and greatest number of probed lists.
 PROBES, MOST_PROBES = 12, 24
@@ -57,23 +57,28 @@ def _block(corpus: DataFrame, ids: list[int], vectors: list[list[int]], k: int,
 
     def run(batches):
         ids, q = shared.value
-        best = [np.zeros((len(ids), 0), np.int64) for _ in range(3)]  # d, row, label by query
-        far = np.iinfo(np.int64).max
+        best = [np.full((len(ids), k), FAR), *(np.zeros((len(ids), k), np.int64) for _ in range(2))]  # d, row, label by query
         for b in batches:
             if not len(ids):
                 continue
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
                 rows, label = part.column("row_id").to_numpy(), part.column("label").to_numpy()
-                d = matrix_l2sq(q, part.column("q").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1))
+                order = np.argsort(rows, kind="stable")
+                rows, label = rows[order], label[order]
+                d = matrix_l2sq(q, part.column("q").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)[order])
                 if exclude_self:
-                    d[ids[:, None] == rows[None, :]] = far
-                new = [d, np.broadcast_to(rows, d.shape), np.broadcast_to(label, d.shape)]
-                best = [np.concatenate([x, y.astype(np.int64)], 1) for x, y in zip(best, new)]
+                    d[ids[:, None] == rows[None, :]] = FAR
+                i, j = least_k(d, k)
+                new = [np.full((len(ids), k), FAR), *(np.zeros((len(ids), k), np.int64) for _ in range(2))]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                for x, y in zip(new, (d[i, j], rows[j], label[j])):
+                    x[i, place] = y
+                best = [np.concatenate([x, y], 1) for x, y in zip(best, new)]
                 order = np.lexsort((best[1], best[0]), axis=1)[:, :k]
                 best = [np.take_along_axis(x, order, 1) for x in best]
         d, row, label = best
-        keep = d != far
+        keep = d != FAR
         which = np.broadcast_to(ids[:, None], d.shape)[keep]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (which, row[keep], label[keep], d[keep])], names=names)
 
@@ -123,17 +128,17 @@ def _scan(visits: DataFrame, index: Index, exclude_self: bool, k: int) -> DataFr
         m, rows, labels = matrix(vectors, "q"), vectors.column("row_id").to_numpy(), vectors.column("label").to_numpy()
         query, rank, q = asked.column("query_id_").to_numpy(), asked.column("probe_rank_").to_numpy(), matrix(asked, "q_")
         out = [[np.zeros(0, np.int64)] * 5]
-        order = np.argsort(rows, kind="stable")  # so that a stable sort by distance leaves ties in order of rows
+        order = np.argsort(rows, kind="stable")  # so that ties in distance go to the lower row
         m, rows, labels = m[order], rows[order], labels[order]
         for at in range(0, len(query) if len(rows) else 0, ROWS):
             part = slice(at, at + ROWS)
             d = matrix_l2sq(q[part], m)
             if exclude_self:
                 d[query[part, None] == rows[None, :]] = FAR
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(d, best, 1)
-            i, j = np.nonzero(near != FAR)
-            out.append([query[part][i], rank[part][i], rows[best[i, j]], labels[best[i, j]], near[i, j]])
+            i, j = least_k(d, k)
+            some = d[i, j] != FAR
+            i, j = i[some], j[some]
+            out.append([query[part][i], rank[part][i], rows[j], labels[j], d[i, j]])
         cols = [np.concatenate(c).astype(np.int64) for c in zip(*out)]
         return pa.Table.from_arrays([pa.array(c) for c in cols], names=FOUND)
 
