@@ -99,27 +99,38 @@ class Linear:
 
 
 class Rows:
-    """Sparse 0/1 rows of selected features, for training."""
+    """Sparse 0/1 rows of selected features, for training, in parts of ``per`` texts:
+    products are taken part by part, so nothing as large as all of it is made beside it."""
 
-    def __init__(self, texts: list[str], wanted: np.ndarray, per: int = 500):
+    def __init__(self, texts: list[str], wanted: np.ndarray, per: int = 200):
         number = np.cumsum(wanted) - 1
-        rows, cols = [], []
+        self.n, self.m, self.per = len(texts), int(wanted.sum()), per
+        self.parts = []
         for i in range(0, len(texts), per):
             r, c = features(texts[i : i + per], wanted)
-            rows.append((r + i).astype(np.int32))
-            cols.append(number[c].astype(np.int32))
-        self.row, self.col = np.concatenate(rows), np.concatenate(cols)
-        self.n, self.m = len(texts), int(wanted.sum())
-        self.at = np.flatnonzero(wanted)
+            self.parts.append((r.astype(np.uint16), number[c].astype(np.int32)))
+
+    def _places(self):
+        return ((slice(i * self.per, (i + 1) * self.per), r, c) for i, (r, c) in enumerate(self.parts))
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.col], self.n)
+        out = np.zeros(self.n)
+        for at, r, c in self._places():
+            out[at] = np.bincount(r, w[c], len(out[at]))
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, g[self.row], self.m)
+        out = np.zeros(self.m)
+        for at, r, c in self._places():
+            out += np.bincount(c, g[at][r], self.m)
+        return out
+
+    def sizes(self) -> np.ndarray:
+        """Features of each row."""
+        return self.times(np.ones(self.m))
 
 
-def class_counts(texts: list[str], positive: np.ndarray, per: int = 500) -> tuple[np.ndarray, np.ndarray]:
+def class_counts(texts: list[str], positive: np.ndarray, per: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """By feature, the number of positive and of other texts that hold it."""
     pos, all_ = np.zeros(FEATURES), np.zeros(FEATURES)
     for i in range(0, len(texts), per):

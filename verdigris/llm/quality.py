@@ -84,7 +84,7 @@ def _fitted(texts: list[str], trusted: np.ndarray, drawn: np.ndarray, prior: flo
     z = (a - b) / np.sqrt(b * (1 - b) * max(var, 1e-12))
     wanted = (np.maximum(p, u) >= min(LEAST_TEXTS, n // 10)) & (np.abs(z) >= LEAST_Z)
     rows = Rows(texts, wanted)
-    wide = np.sqrt(np.maximum(np.bincount(rows.row, minlength=rows.n), 1))  # rows of length 1
+    wide = np.sqrt(np.maximum(rows.sizes(), 1))  # rows of length 1
     w = np.zeros(rows.m + 1)
     start = 0.5 if prior is None else prior
     w[-1] = np.log(start / (1 - start))

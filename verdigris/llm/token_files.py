@@ -90,6 +90,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
             shard = np.where(hi > lo, lo + np.minimum((u * (hi - lo + 1)).astype(np.int64), hi - lo), lo)
             ids = [e + end for e in enc.encode(text_list(b.column("text")))]
             yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int32()), "doc_id": key, "h": b.column("h"), "ids": pa.array(ids, pa.binary())})
+        enc.words.old = {}
 
     dtype = encoder(vocab).dtype
     rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "shard int, doc_id long, h long, ids binary")

@@ -82,6 +82,7 @@ def train(sample: DataFrame, fitter) -> bytes:
         order = sorted(range(len(texts)), key=texts.__getitem__)
         model = fitter([texts[i] for i in order], np.array([y[i] for i in order], np.float64))
         yield pa.RecordBatch.from_pydict({"model": pa.array([model.pack()], pa.binary())})
+        pa.default_memory_pool().release_unused()
 
     # a sample without rows may run no task at all
     row = sample.select("text", "y").repartition(1).mapInArrow(run, "model binary").first()
