@@ -303,3 +303,32 @@ def test_pipeline(spark):
     assert after.count() == len(before)
     got = corpus_pipeline.run(spark, FOLDER)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, after.collect()))
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty, very long and repeated texts, clashing columns, an empty table."""
+    folder = str(tmp_path)
+    some = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60).collect()]
+    long = " ".join(f"w{i % 5003}x{i // 5003}" for i in range(120_000))
+    odd = [(None, None, None, None, None), (None, "", "en", None, 0), (9000, long, None, "s", 1), (9001, "twice the same", "en", "s", 3), (9001, "twice the same", "en", "s", 3), (some[0][0], None, "en", None, None)]
+    extra = "row string, doc int, k1 double, _skey string, predicted int, words string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + extra
+    own = ("r", 5, 1.5, "k", 1, "w")
+    docs = spark.createDataFrame([(*r, *own) for r in some + odd], schema)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{FOLDER}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = cut(stage(spark, kept, folder), "stage")
+        assert out.columns == docs.columns and {tuple(r)[5:] for r in out.collect()} == {own}
+        assert stage(spark, docs.limit(0), folder).collect() == []
+        kept = out
+    ids = [r.doc_id for r in kept.collect()]
+    assert 9000 in ids and ids.count(None) == 2 and ids.count(9001) <= 3
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(map(str, ids))
+    docs.limit(0).write.mode("overwrite").parquet(f"{folder}/empty/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{FOLDER}/{t}.parquet").write.parquet(f"{folder}/empty/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}/empty").collect() == []
