@@ -21,27 +21,39 @@ from verdigris.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows predicted toxic; the classifier learns from labels of the rows it gets."""
+    """Drops rows predicted toxic; the classifier learns from labels of the rows it gets.
+
+    Null and empty texts hold no feature and stay unless the classifier's bias
+    alone says toxic; null ids are never training rows; rows are judged one by one; without labels, and
+    with an empty table, no row goes. Other columns, whatever their names, pass through."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each class of near duplicates."""
+    """Keeps one row of each class of near duplicates: that of the least id, nulls
+    last, ties by hashes of the text and the row. Null and empty texts all stay; an
+    empty table stays empty; other columns pass through."""
     return deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows that overlap a benchmark item."""
+    """Drops rows that overlap a benchmark item, judged by text, so null and repeated
+    ids do not matter. Null and empty texts stay; an empty table stays empty, with an
+    empty benchmark all rows stay; other columns pass through."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each row as often as its source's target asks for."""
+    """Takes each row as often as its source's target asks for. A null source is one of
+    its own; rows without words stay once; of equal rows as many are taken as the
+    budget asks for; an empty table stays empty; other columns pass through."""
     return mix(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token files in ascending order of doc_id and reads them back."""
+    """Writes token files in ascending order of doc_id, nulls last, and reads them back.
+    A null or empty text has the end id alone; repeated rows follow one another; an
+    empty table writes no record; other columns are left out."""
     return token_files(docs)
 
 

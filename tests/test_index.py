@@ -153,6 +153,66 @@ def test_packed_format():
         assert e.value.reason == reason
 
 
+def test_a_broken_write_leaves_the_old_index(spark, tmp_path):
+    _, df = small_corpus(spark, 60)
+    path = str(tmp_path / "index")
+    first = cluster.build_index(df, cluster.train(df, 3))
+    index_files.write_index(first, path)
+    bad = cluster.Index(first.centroids, first.lists, first.vectors.withColumn("q", F.raise_error(F.lit("lost")).cast("array<int>")))
+    with pytest.raises(Exception):
+        index_files.write_index(bad, path)
+    assert index_files.open_index(spark, path).vectors.count() == 60
+    second = cluster.build_index(df.where("row_id < 50"), cluster.train(df, 4))
+    index_files.write_index(second, path)
+    opened = index_files.open_index(spark, path)
+    assert opened.vectors.count() == 50 and len(opened.centroids) == 4
+
+
+def test_corpus_of_several_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.json.gz").write_bytes(gzip.compress(json.dumps([{"vector": [j / 100] * 14, "label": "fraud"} for j in range(i * 10, i * 10 + 10)]).encode()))
+    rows = corpus.read_corpus(spark, str(tmp_path)).orderBy("row_id").collect()
+    assert [r.row_id for r in rows] == list(range(30)) and [r.q[0] for r in rows] == [j * 100 for j in range(30)]
+    assert len(cluster.train(corpus.read_corpus(spark, str(tmp_path)), 4)) == 4
+
+
+def test_build_command(spark, tmp_path, capsys):
+    from verdigris import build
+
+    (tmp_path / "c.json.gz").write_bytes(gzip.compress(json.dumps([{"vector": [j / 100] * 14, "label": "fraud" if j % 3 else "legit"} for j in range(40)]).encode()))
+    assert build.main([str(tmp_path)]) == 2 and "usage" in capsys.readouterr().err
+    assert build.main([str(tmp_path / "c.json.gz"), str(tmp_path / "i"), "5", "x", "2"]) == 0
+    i = index_files.open_index(spark, str(tmp_path / "i"))
+    assert len(i.centroids) == 5 and i.vectors.count() == 40
+    assert build._number("12", 5) == 12 and build._number("12x", 5) == 5 and build._number("", 5) == 5 and build._number(None, 5) == 5
+    with pytest.raises(ValueError):
+        (tmp_path / "e.json").write_text("[]")
+        build.build(spark, str(tmp_path / "e.json"), str(tmp_path / "x"))
+
+
+def test_lists_split_in_blocks(spark, monkeypatch):
+    _, df = small_corpus(spark, 150, 3, 5)
+    index = cluster.build_index(df, cluster.train(df, 3))
+    queries = df.select(F.col("row_id").alias("query_id"), "q")
+    key = lambda x: sorted(map(tuple, x.collect()))
+    want = key(search.ivf(index, queries, 2))
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 7)
+    monkeypatch.setattr(search, "VISIT_BLOCK", 11)
+    assert key(search.ivf(index, queries, 2)) == want
+    monkeypatch.setattr(search, "QUERY_BLOCK", 40)
+    assert len(search.exact(df, queries).collect()) == 150 * 5
+
+
+def test_worst_distance_repairs_unanimous_votes(spark):
+    rows = [(i, [i * 10], 0) for i in range(20)] + [(20 + i, [1000 + i], 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "row_id long, q array<int>, label int")
+    index = cluster.build_index(df, np.array([[0], [95], [150], [1002]]))
+    asked = spark.createDataFrame([(100, [30]), (101, [1002])], "query_id long, q array<int>")
+    key = lambda **x: {(r.query_id, r.row_id) for r in search.ivf_repaired(index, asked, 1, 4, exclude_self=False, **x).collect()}
+    plain, near = key(), key(far_legit=10, far_fraud=10**9)
+    assert {x for x in plain if x[0] == 101} == {x for x in near if x[0] == 101} and {r for q, r in near if q == 100} == {1, 2, 3, 4, 5}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     _, df = small_corpus(spark, 80)
     index = cluster.build_index(df, cluster.train(df, 4))

@@ -19,6 +19,8 @@ from .scalar_queries import q_sql, read
 
 QUERIES, SQL = {}, {}
 DIMS, LISTS, PROBES, REPAIR, EARLY = 64, 8, 3, 6, 30_000_000
+#: Dimensions that a packed vector holds.
+DIMS_PACKED = 16
 
 
 def query(sql: str | None = None):
@@ -255,11 +257,33 @@ def index_roundtrip(spark, sf_dir):
     return index_files.open_index(spark, path).vectors.select("list_id", "pos", "row_id", "label")
 
 
-@query()
+# the header's fields as little-endian bytes, then the checksum bit by bit
+_le = lambda x, n: ", ".join(f"(({x}) >> {8 * i}) & 255" for i in range(n))
+_CRC_SQL = f"""WITH n AS (SELECT count(*)::HUGEINT AS n, {-(-(64 + LISTS * 64) // 32) * 32}::HUGEINT AS v FROM embeddings),
+h AS (SELECT n, [82, 78, 72, 52, {_le('1::HUGEINT', 4)}, {_le(f'{LISTS}::HUGEINT', 4)}, {_le('n', 4)}, {_le('64::HUGEINT', 8)}, {_le('v', 8)}, {_le('v + n * 32', 8)}, {_le('v + n * 33', 8)}] || list_transform(range(16), lambda i: 0) AS b FROM n),
+c AS (SELECT n, b, list_reduce(list_prepend(4294967295::BIGINT, list_transform(b, lambda x: x::BIGINT)), lambda crc, x: list_reduce(list_prepend(xor(crc, x), list_transform(range(8), lambda i: 0::BIGINT)), lambda y, z: xor(y >> 1, CASE WHEN y % 2 = 1 THEN 2197175160 ELSE 0 END))) AS crc FROM h)
+SELECT n::BIGINT AS nvectors, xor(crc, 4294967295)::BIGINT AS crc FROM c"""
+
+
+@query(_CRC_SQL)
 def crc32c_header(spark, sf_dir):
-    n = corpus(spark, sf_dir).count()
-    head = index_files.header(LISTS, n)
-    return spark.createDataFrame([(n, head.hex(), index_files.crc32c(head[:48] + b"\0" * 16))], "nvectors long, header string, crc long")
+    """Of the header of the packed index, which is written and read back."""
+    path = new_folder(spark, "packed")
+    index_files.write_packed(index(spark, sf_dir), path)
+    head = bytes(spark.read.parquet(path).first()[0])[: index_files.HEADER]
+    n = index_files.read_packed(spark, path, DIMS_PACKED).vectors.count()
+    return spark.createDataFrame([(n, index_files.header_crc(head))], "nvectors long, crc long")
+
+
+@query(SQL["list_layout"])
+def packed_roundtrip(spark, sf_dir):
+    path = new_folder(spark, "packed")
+    i = index(spark, sf_dir)
+    index_files.write_packed(i, path)
+    got = index_files.read_packed(spark, path, DIMS_PACKED).vectors
+    # the packed format has no row numbers: they come from the index, by place and vector
+    first = F.slice("q", 1, DIMS_PACKED)
+    return got.select("list_id", "pos", "q", "label").join(i.vectors.select("pos", "row_id", first.alias("q")), ["pos", "q"]).select("list_id", "pos", "row_id", "label")
 
 
 _stream_sql = f"WITH {PROBED}, {_found('f', f'p.r < {PROBES}')}, v AS ({_votes(f'SELECT * FROM f {TOP}')}) SELECT query_id, frauds, {BODY} AS body FROM v"

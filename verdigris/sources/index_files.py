@@ -55,9 +55,15 @@ def header(nlists: int, nvectors: int) -> bytes:
     return _HEAD.pack(*fields, crc32c(_HEAD.pack(*fields, 0)))
 
 
+def header_crc(head: bytes) -> int:
+    """Checksum of a header, its own field counted as zeros."""
+    return crc32c(head[:48] + b"\0" * 4 + head[52:HEADER])
+
+
 def pack(centroids: np.ndarray, offsets, counts, frauds, vectors: np.ndarray, labels) -> bytes:
-    """A whole index as bytes; vectors (at most 16 lanes) grouped by list. For small
-    indexes that serve outside Spark."""
+    """A whole index as bytes; vectors grouped by list, their first 16 dimensions. For
+    small indexes that serve outside Spark."""
+    centroids, vectors = (np.asarray(m)[:, :LANES] if len(m) else np.asarray(m) for m in (centroids, vectors))
     wide = lambda m: np.pad(np.asarray(m, "<i2").reshape(len(m), -1), ((0, 0), (0, LANES - np.asarray(m).shape[1] if len(m) else LANES))).astype("<i2")
     head = header(len(centroids), len(vectors))
     slots = b"".join(c.tobytes() + struct.pack("<IIII16x", o, n, f, 0) for c, o, n, f in zip(wide(centroids), offsets, counts, frauds))
@@ -74,7 +80,7 @@ def unpack(data: bytes, dims: int = 14):
         raise IndexFormatError("version")
     if size != len(data):
         raise IndexFormatError("size")
-    if crc32c(data[:48] + b"\0" * 4 + data[52:HEADER]) != crc:
+    if header_crc(data) != crc:
         raise IndexFormatError("crc")
     if max(lists_at + nlists * SLOT, vectors_at + n * 2 * LANES, labels_at + n) > len(data):
         raise IndexFormatError("bounds")
