@@ -133,4 +133,8 @@ def test_other_vocabularies(spark):
         e = encoder(public_tokenizers.path(name))
         x = ["Hello there, wörld", ""]
         ids = [np.frombuffer(b, e.dtype).tolist() for b in e.encode(x)]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate([*x, "long text " * 20_000])], "doc_id long, text string")
+        for keep in (False, True):
+            got = token_counts.token_counts(df.where(f"doc_id < 2 or not {keep}"), public_tokenizers.path(name), keep_table=keep).orderBy("doc_id").collect()
+            assert [r.n_tokens for r in got] == [len(i) for i in e.lists([*x, "long text " * 20_000])][: len(got)]
         assert ids == [list(i) for i in e.lists(x)] and not e.by_word

@@ -142,6 +142,12 @@ class PrefixCounter:
             out.append(_widened(steps) if self.wide else NARROW + b"\x00".join(steps))
         return out
 
+    def totals(self, texts: list[str]) -> list[int]:
+        """Counts of whole texts; where no table is kept, other vocabularies encode each text once."""
+        if not self.enc.by_word:
+            return [len(x) for x in self.enc.lists(texts)]
+        return [total_of(t) for t in self.tables(texts)]
+
     def few_counts(self, word: str) -> list[int]:
         """For words whose normal form moves characters: the library encodes each prefix."""
         return [len(x) for i in range(0, len(word), 256) for x in self.enc.lists([word[:j] for j in range(i + 1, min(i + 256, len(word)) + 1)])]
@@ -196,14 +202,20 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 20
     ``prefix_table``, which prefix_counts(), count_at() and longest_within() read.
 
     Null and empty texts have 0 bytes and tokens; rows are judged one by one, so
-    repeated rows and null ids need no rule; an empty table gives no rows."""
+    repeated rows and null ids need no rule; an empty table gives no rows. A table
+    takes time in proportion to the text for vocabularies whose words are
+    independent, but for runs of more than LONG characters without a space that hold
+    special strings or letters that normalising moves; there, and for all texts of
+    other vocabularies, each prefix is encoded."""
     path = vocabulary or default_vocabulary()
 
     def run(batches):
         count = counter(path)
         for b in batches:
-            tables = count.tables(text_list(b.column("text")))
-            cols = {"doc_id": b.column("doc_id"), "n_bytes": b.column("n_bytes"), "n_tokens": pa.array([total_of(t) for t in tables], pa.int64())}
+            texts = text_list(b.column("text"))
+            tables = count.tables(texts) if keep_table else []
+            totals = [total_of(t) for t in tables] if keep_table else count.totals(texts)
+            cols = {"doc_id": b.column("doc_id"), "n_bytes": b.column("n_bytes"), "n_tokens": pa.array(totals, pa.int64())}
             if keep_table:
                 cols["prefix_table"] = pa.array(tables, pa.binary())
             yield pa.RecordBatch.from_pydict(cols)
