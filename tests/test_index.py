@@ -168,6 +168,10 @@ def test_a_broken_write_leaves_the_old_index(spark, tmp_path):
     assert opened.vectors.count() == 50 and len(opened.centroids) == 4
 
 
+def test_early_limit():
+    assert search.early_limit_of(159) == 1590**2 and search.early_limit_of(0) == 0
+
+
 def test_corpus_of_several_files(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"{i}.json.gz").write_bytes(gzip.compress(json.dumps([{"vector": [j / 100] * 14, "label": "fraud"} for j in range(i * 10, i * 10 + 10)]).encode()))

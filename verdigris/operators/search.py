@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.decide import NEIGHBOURS
+from ..functions.scalar import SCALE
 from ..paths import on_workers
 from ..sources.tables import new_folder, written
 from .cluster import Index, nearest
-from .distance import bbox_bound, least_k, matrix_l2sq
+from .distance import least_k, matrix_l2sq
 
 # Default and greatest number of probed lists.
 PROBES, MOST_PROBES = 12, 24
@@ -194,6 +195,36 @@ def boxes(index: Index) -> DataFrame:
     return bounds(index.vectors, "list_id")
 
 
+def _reachable(worst: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, q, list_id) for queries (query_id, q, worst): lists whose box may hold
+    something nearer than ``worst``, all if it is null. The boxes, MOST_LISTS at
+    most, are broadcast; only pairs within reach become rows."""
+    spark = worst.sparkSession
+    rows = found.orderBy("list_id").collect()
+    shared = spark.sparkContext.broadcast(([r.list_id for r in rows], np.array([r.low for r in rows], np.int64), np.array([r.high for r in rows], np.int64)))
+
+    def run(batches):
+        ids, low, high = shared.value
+        ids = np.array(ids, np.int32)
+        step = max(1, (1 << 22) // max(low.size, 1))
+        for b in batches:
+            query, w = b.column("query_id").to_numpy(), b.column("worst").fill_null(FAR).to_numpy()
+            m = b.column("q").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.int64)
+            lists = []
+            for at in range(0, b.num_rows if len(ids) else 0, step):
+                part = slice(at, at + step)
+                bound = (np.maximum(np.maximum(low[None] - m[part, None], m[part, None] - high[None]), 0) ** 2).sum(axis=2)
+                lists += [ids[x] for x in bound < w[part, None]]
+            yield pa.RecordBatch.from_arrays([pa.array(query), b.column("q"), pa.array(lists or [[]] * b.num_rows, pa.list_(pa.int32()))], names=["query_id", "q", "lists"])
+
+    return worst.mapInArrow(run, "query_id long, q array<int>, lists array<int>").select("query_id", "q", F.explode("lists").alias("list_id"))
+
+
+def early_limit_of(milli: int) -> int:
+    """Own reading of an early distance in thousandths: the squared distance of vectors of SCALE steps."""
+    return (milli * SCALE // 1000) ** 2
+
+
 def exact_fallback(index: Index, queries: DataFrame, nprobe: int = 3, k: int = NEIGHBOURS, exclude_self: bool = True) -> DataFrame:
     """Exact search in two phases: the probed lists give a k-th distance; of the
     others only lists whose box may hold something nearer are scanned."""
@@ -201,9 +232,7 @@ def exact_fallback(index: Index, queries: DataFrame, nprobe: int = 3, k: int = N
     first = written(_top(_scan(visits, index, exclude_self, k), k), "first-pass")
     full = first.groupBy("query_id").agg(F.max("d").alias("worst"), F.count("*").alias("n"))
     worst = queries.select("query_id", "q").join(full, "query_id", "left").select("query_id", "q", F.when(F.col("n") >= k, F.col("worst")).alias("worst"))
-    # there are at most MOST_LISTS boxes
-    near = worst.crossJoin(F.broadcast(boxes(index)))
-    near = near.where(F.col("worst").isNull() | (bbox_bound("q", "low", "high") < F.col("worst")))
+    near = _reachable(worst, boxes(index))
     rest = near.join(visits.select("query_id", "list_id"), ["query_id", "list_id"], "left_anti").withColumn("probe_rank", F.lit(MOST_PROBES))
     more = _scan(rest, index, exclude_self, k)
     return _top(first.withColumn("probe_rank", F.lit(0)).select("query_id", "probe_rank", "row_id", "label", "d").unionByName(more), k)
