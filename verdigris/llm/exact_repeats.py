@@ -302,3 +302,18 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
 def op6_exact_repeats(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: All strings of LENGTH bytes, counted by 64-bit hashes.
+OP6_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS MATERIALIZED (SELECT r, unnest(list_transform(range(octet_length(b) - 399), lambda i: hash(b[i + 1:i + 400]))) AS h, unnest(range(octet_length(b) - 399)) AS p FROM d WHERE octet_length(b) >= 400),
+t AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 400 THEN 0 ELSE 1 END AS new FROM w JOIN t USING (h)),
+g AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS span FROM s),
+x AS (SELECT r, span, min(p) AS a, max(p) + 400 AS z FROM g GROUP BY r, span),
+k AS (SELECT r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM x GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN k.r IS NULL THEN b ELSE unhex(array_to_string(list_transform(range(1, len(a) + 2), lambda i: hex(b[coalesce(z[i - 1], 0) + 1:coalesce(a[i], octet_length(b))])), '')) END) AS kept_sha256
+FROM d LEFT JOIN k ON k.r = d.r
+"""

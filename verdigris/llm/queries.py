@@ -20,5 +20,6 @@ SQL = {
     "op1_source_mix": mixing.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op5_topk_search": topk.OP5_SQL,
+    "op6_exact_repeats": exact_repeats.OP6_SQL,
     "op10_license_scan": licenses.OP10_SQL,
 }
