@@ -431,7 +431,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc.doc_id").isNull().alias("a"), F.col("doc.doc_id").alias("b"), F.xxhash64("doc.text").alias("c"), F.col("tie").alias("d"), F.col("row").alias("e"))
     own = rows.where("k1 is not null").select("k1", "k2", order.alias("o")).join(named, ["k1", "k2"])
     kept = cut(own.groupBy("class").agg(F.min("o").alias("o")).select(F.col("o.e").alias("row")), "kept")
-    out = cut(rows.where("k1 is not null").select("doc", "row").join(kept, "row").select("doc").unionByName(rows.where("k1 is null").select("doc")), "kept")
+    out = cut(rows.where("k1 is not null").select("doc", "row").join(kept.hint("merge"), "row").select("doc").unionByName(rows.where("k1 is null").select("doc")), "kept")
     spent(rows, named, kept)
     return out.select("doc.*")
 
